@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlog.llm import bpe, chat, mixing, simhash, telephony, warc
+from strandlog.llm import bpe, chat, egojoin, lines, mixing, simhash, suffixes, telephony, toxicity, warc
 from strandlog.llm._common import table
 
 TOKENIZER = os.environ.get("STRANDLOG_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +53,11 @@ def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.read_back(telephony.store(table(spark, sf_dir, "documents")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=("doc_id",))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER, keep=("doc_id",), ids=False)
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -87,12 +96,38 @@ select doc_id, size, source_size, target, cast(repeats * size + greatest(0, leas
 from r
 """
 
+
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.cut_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_egojoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as x from embeddings),
+g as (select * from v where label is not null and x is not null and list_sum(list_transform(x, y -> y * y)) > 0
+    and not list_contains(list_transform(x, y -> y is null or isnan(y) or isinf(y)), true)),
+e as (select a.vec_id as a, b.vec_id as b from g a join g b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+    where list_cosine_similarity(a.x, b.x) >= 0.98),
+r as (select vec_id as a, vec_id as b from v union select r.a, e.b from r join e on r.b = e.a),
+c as (select a, min(b) as component_id from r group by a),
+n as (select a, count(*) as n from e group by a)
+select v.vec_id, coalesce(n.n, 0) as n_links, c.component_id, v.vec_id = c.component_id as kept
+from v join c on c.a = v.vec_id left join n on n.a = v.vec_id
+"""
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_chat": op2_chat,
     "op3_telephony": op3_telephony,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
+    "op7_lines": op7_lines,
     "op8_mixing": op8_mixing,
+    "op9_suffixes": op9_suffixes,
+    "op10_egojoin": op10_egojoin,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op2_chat": OP2_SQL, "op8_mixing": OP8_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op2_chat": OP2_SQL, "op8_mixing": OP8_SQL, "op10_egojoin": OP10_SQL}
