@@ -107,8 +107,8 @@ def op10_egojoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 with recursive v as (select vec_id, label, cast(embedding as double[]) as x from embeddings),
-g as (select * from v where label is not null and x is not null and list_sum(list_transform(x, y -> y * y)) > 0
-    and not list_contains(list_transform(x, y -> y is null or isnan(y) or isinf(y)), true)),
+g as (select * from v where label is not null and x is not null and list_sum(list_transform(x, lambda y: y * y)) > 0
+    and not list_contains(list_transform(x, lambda y: y is null or isnan(y) or isinf(y)), true)),
 e as (select a.vec_id as a, b.vec_id as b from g a join g b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x)
     where list_cosine_similarity(a.x, b.x) >= 0.98),
 r as (select vec_id as a, vec_id as b from v union select r.a, e.b from r join e on r.b = e.a),
