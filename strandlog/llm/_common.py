@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the only separator between words in these operators.
@@ -82,8 +82,12 @@ def only_likely(df: DataFrame, keys: DataFrame, key: str, bits: int = 23) -> Dat
     )
 
 
-def hex16(c: Column | str) -> Column:
-    return F.lpad(F.lower(F.hex(c)), 16, "0")
+def spare(taken) -> str:
+    """A column name that is not among those taken."""
+    name = "_text"
+    while name in taken:
+        name += "_"
+    return name
 
 
 def roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:

@@ -3,7 +3,8 @@
 The automaton is built from the merge list by one gadget a merge. At first there is one
 state with a loop for every base symbol. The gadget of the merge (a, b) -> c
 
-* gives every state with an arc for a an arc for c, which ends where b's arcs end;
+* gives every state with an arc for a an arc for c, which ends where b's arcs end (if a's end
+  has an arc for b at all; else the merge never applies);
 * sends the arcs for a to a new state: a copy of their former end without the arc for b.
 
 So all arcs of one label end in one state, a state only ever loses an arc when it is
@@ -25,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from strandlog.llm._common import spare
+
 #: Words that a worker remembers; beyond that it forgets all and starts again.
 REMEMBER = 1 << 20
 #: Letters, numbers and cases up to here have not changed between Unicode's editions.
@@ -42,23 +45,26 @@ class Automaton:
     """States and arcs of the merge list; token ids are those of the vocabulary."""
 
     def __init__(self, base: list[int], merges: list[tuple[int, int, int]], n_ids: int):
-        self.left = np.full(n_ids, -1, np.int64)  # token -> the left part of the merge that made it
-        self.born = np.zeros(n_ids, np.int64)  # token -> number of that merge, from 1 on
-        self.end = np.full(n_ids, -1, np.int64)  # token -> state in which its arcs end
-        parent, since, lost = [-1], [0], [-1]
-        self.end[base] = 0
+        self.left = [-1] * n_ids  # token -> the left part of the merge that made it
+        self.born = [0] * n_ids  # token -> number of that merge, from 1 on
+        self.end = [-1] * n_ids  # token -> state in which its arcs end; -1: it has none
+        self.parent, self.since, self.lost = [-1], [0], [-1]
+        for t in base:
+            self.end[t] = 0
+        made = set(base)
         for r, (a, b, c) in enumerate(merges, 1):
-            if self.end[a] < 0 or self.end[b] < 0:
+            if not {a, b} <= made:
                 raise ValueError(f"merge {r} uses a symbol that no earlier merge has made")
-            if self.end[c] >= 0:
+            if c in made:
                 raise ValueError(f"merge {r} makes a symbol again")
+            made.add(c)
+            if self.end[a] < 0 or self.end[b] < 0 or not self._has(self.end[a], b):
+                continue  # a is never before b by now, so c never is made
             self.left[c], self.born[c], self.end[c] = a, r, self.end[b]
-            parent.append(int(self.end[a]))
-            since.append(r)
-            lost.append(b)
-            self.end[a] = len(parent) - 1
-        self.left, self.born, self.end = self.left.tolist(), self.born.tolist(), self.end.tolist()
-        self.parent, self.since, self.lost = parent, since, lost
+            self.parent.append(self.end[a])
+            self.since.append(r)
+            self.lost.append(b)
+            self.end[a] = len(self.parent) - 1
         self.table: dict[int, int] = {}
 
     def step(self, state: int, token: int) -> int:
@@ -68,7 +74,7 @@ class Automaton:
         if to is None:
             if len(self.table) > 4 * REMEMBER:
                 self.table.clear()
-            to = self.table[key] = self.end[token] if self._has(state, token) else -1
+            to = self.table[key] = self.end[token] if self.end[token] >= 0 and self._has(state, token) else -1
         return to
 
     def _has(self, state: int, token: int) -> bool:
@@ -213,7 +219,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = (), ids: bool = T
     a time is in memory. Rows repeat as they do in docs. `path` is read on the executors, so it has to be there.
     No shuffle: each task encodes its own rows.
     """
-    kept = docs.select(*keep, docs["text"].cast("string").alias("_text"))
+    kept = docs.select(*keep, docs["text"].cast("string").alias(spare(keep)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     out = (fields + ", " if fields else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
@@ -221,7 +227,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = (), ids: bool = T
         t = load(path)
         for b in batches:
             n, a, d, lists = [], [], [], []
-            for text in b.column("_text").to_pylist():
+            for text in b.column(len(keep)).to_pylist():
                 got = list(t.parts(text or ""))
                 raw = b"".join([g[0] for g in got])
                 n.append(len(raw) // 4)
