@@ -383,9 +383,17 @@ def archive(pages: DataFrame, path: str, min_bytes: int = 1000, date: str = "202
 
 
 def read(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFrame:
-    """The records under path; columns is the part of SCHEMA that is wanted, and payloads are only inflated if it asks for them."""
+    """The records under path; columns is the part of SCHEMA that is wanted, and payloads are only inflated if it asks for them.
+
+    Every record has a type. That predicate is always there because Spark keeps the filters
+    it last pushed into a Python source with the DataFrame, and asks again only where a query
+    has any: without it, a DataFrame that was used with a filter would keep it. Use this
+    function rather than the bare format where a DataFrame is used more than once.
+    """
     register(spark)
-    return spark.read.format("warc").schema(columns).load(path)
+    names = [c.split()[0] for c in columns.split(",")]
+    with_type = columns if "record_type" in names else columns + ", record_type string"
+    return spark.read.format("warc").schema(with_type).load(path).where("record_type is not null").select(names)
 
 
 def page_of(uri: str) -> Column:
