@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlog.llm._common import spare
+
 #: Labelled rows that become examples, of each label at most. The index and what the driver holds are bounded by these
 #: two numbers and TERMS; counts, document frequencies and the scoring cover all rows.
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 3000, 6000
@@ -287,12 +289,12 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] | None = N
     """
     new = ["held_out", "score", "predicted", "evidence"]
     keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in new)
-    kept = docs.select(*keep, docs["text"].cast("string").alias("_text"))
+    kept = docs.select(*keep, docs["text"].cast("string").alias(spare(keep)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 
     def run(batches):
         for b in batches:
-            got = [model.score(t) if model else (0.0, "") for t in b.column("_text").to_pylist()]
+            got = [model.score(t) if model else (0.0, "") for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(len(keep))), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.string())], names=[*keep, "score", "evidence"]
             )
