@@ -224,7 +224,7 @@ add("did_index_stats", lambda o: index.stats(index.build(o)), f"""select {FNV.re
 add("fork_points", entity.fork_points, "select did, prev, count(*) as n from ops where prev is not null group by did, prev having count(*) > 1")
 add_manifest("chain_break", lambda m: compare.chain_break(compare.manifests(m, target_of(m))), """, bad as (select bundle_number, bundle_number - row_number() over (order by bundle_number) as g from cmp where kind in ('hash', 'content')),
 run as (select min(bundle_number) as a, max(bundle_number) as b from bad group by g order by 1 limit 1)
-select a as first_break, (select max(bundle_number) from cmp where kind in ('same', 'cursor') and bundle_number < a) as last_good, b - a + 1 as run from run""")
+select (select a from run) as first_break, (select max(bundle_number) from cmp where kind in ('same', 'cursor') and bundle_number < (select a from run)) as last_good, (select b - a + 1 from run) as run""")
 QUERIES["percentiles"] = lambda spark, sf_dir: stats.percentiles(spark.read.parquet(f"{sf_dir}/events.parquet"), "value").select("n", "least", "most", "p50", "p95", "p99", F.round("mean", 6).alias("mean"), F.round("stddev", 4).alias("stddev"))
 ORACLES["percentiles"] = """with s as (select value, row_number() over (order by value) - 1 as k, count(*) over () as n from events where value is not null)
 select max(n) as n, min(value) as least, max(value) as most, max(value) filter (k = floor(n * 0.5)) as p50, max(value) filter (k = floor(n * 0.95)) as p95, max(value) filter (k = floor(n * 0.99)) as p99,

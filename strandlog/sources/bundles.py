@@ -109,7 +109,7 @@ def write(ops: DataFrame, folder: str, origin: str = "", frame_ops: int = FRAME_
     retried task leaves whole files only. folder has to be one that all executors share.
     """
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         from pyarrow import fs as pafs
 
         lines = table.sort_by("position").column("raw").to_pylist()
