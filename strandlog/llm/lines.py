@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,7 +19,7 @@ BUCKETS = 1 << 18
 REMEMBER = 1 << 20
 FLUSH = 400_000
 
-LINES = "doc_id long, row_key long, line int, n int, s1 long, s2 long, prefix array<int>, sig binary"
+LINES = "doc_id long, row_key long, line int, n int, s1 long, s2 long, prefix array<int>, fold long, sig binary"
 
 
 def least_overlap(n, m):
@@ -30,16 +32,16 @@ def prefix_length(n):
     return n - -(-NUM * n // DEN) + 1
 
 
-def _hashes(words, memory: dict[bytes, int]) -> list[int]:
-    out = []
-    for w in words:
-        h = memory.get(w)
-        if h is None:
-            if len(memory) > REMEMBER:
-                memory.clear()
-            h = memory[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return out
+class _Memory(dict):
+    """Hashes of words, made when first asked for; trim() bounds what is kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def trim(self):
+        if len(self) > REMEMBER:
+            self.clear()
 
 
 def _bytes(text: str | None) -> bytes:
@@ -51,13 +53,19 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(BUCKETS, np.int64)
-        memory: dict[bytes, int] = {}
+        count: Counter[bytes] = Counter()
+
+        def add():
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, count), np.uint64, len(count)) % np.uint64(BUCKETS)
+            np.add.at(total, h.astype(np.int64), np.fromiter(count.values(), np.int64, len(count)))
+            count.clear()
+
         for b in batches:
             for text in b.column("text").to_pylist():
-                h = np.array(_hashes(_bytes(text).split(), memory), np.uint64)
-                total += np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) if len(h) > 20_000 else 0
-                if 0 < len(h) <= 20_000:
-                    np.add.at(total, (h % np.uint64(BUCKETS)).astype(np.int64), 1)
+                count.update(_bytes(text).split())
+                if len(count) > REMEMBER:
+                    add()
+        add()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
 
@@ -72,7 +80,11 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(8 * np.log2(1 + counts))).astype(np.uint64)
 
 
-def token_sets(data: bytes, level: np.ndarray, memory: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: The level of a token that is there once in all texts: no other set holds it.
+ALONE = 8
+
+
+def token_sets(data: bytes, level: np.ndarray, memory: _Memory) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lines with words, sizes of their token sets, the tokens' keys in the order of rarity, line after line)."""
     which, sizes, flat = [], [], []
     for k, line in enumerate(data.split(b"\n")):
@@ -80,7 +92,8 @@ def token_sets(data: bytes, level: np.ndarray, memory: dict[bytes, int]) -> tupl
         if words:
             which.append(k)
             sizes.append(len(words))
-            flat += _hashes(words, memory)
+            flat.extend(map(memory.__getitem__, words))
+    memory.trim()
     h = np.array(flat, np.uint64)
     # rarity, then hash: one order for all lines; the lowest bits give way to the level
     key = level[(h % np.uint64(BUCKETS)).astype(np.int64)] << np.uint64(56) | h >> np.uint64(8)
@@ -111,20 +124,23 @@ def width_of(n: int) -> int:
     return min(4096, max(64, 1 << (n - 1).bit_length()))
 
 
-def sketches(keys: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Parity sketches: bit k tells whether an odd number of tokens fall on k. Sets that differ in d tokens differ in d bits at most."""
-    out: list[bytes] = [b""] * len(sizes)
+def folds(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Parity sketches of 64 bits: bit k tells whether an odd number of tokens fall on k. Sets that differ in d tokens differ in d bits at most."""
+    if not len(sizes):
+        return np.empty(0, np.int64)
+    bit = np.uint64(1) << (_mix(keys, 0xFF51AFD7ED558CCD) & np.uint64(63))
+    return np.bitwise_xor.reduceat(bit, np.cumsum(sizes) - sizes).view(np.int64)
+
+
+def sketches(keys: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """Wider parity sketches of the sets of over 64 tokens, None for the others, which their fold describes as well."""
+    out: list[bytes | None] = [None] * len(sizes)
     first = np.cumsum(sizes) - sizes
-    widths = np.array([width_of(int(n)) for n in sizes], np.int64)
-    bits = _mix(keys, 0xFF51AFD7ED558CCD)
-    for w in np.unique(widths).tolist():
-        for lines in np.array_split(pick := np.flatnonzero(widths == w), max(1, len(pick) * w // (1 << 22))):
-            at = np.concatenate([np.arange(first[i], first[i] + sizes[i]) for i in lines])
-            owner = np.repeat(np.arange(len(lines)), sizes[lines])
-            odd = np.bincount(owner * w + (bits[at] % np.uint64(w)).astype(np.int64), minlength=len(lines) * w) & 1
-            packed = np.packbits(odd.astype(np.uint8).reshape(len(lines), w), axis=1, bitorder="little")
-            for i, row in zip(lines.tolist(), packed, strict=True):
-                out[i] = row.tobytes()
+    for i in np.flatnonzero(sizes > 64).tolist():
+        w = width_of(int(sizes[i]))
+        bits = _mix(keys[first[i] : first[i] + sizes[i]], 0xFF51AFD7ED558CCD) % np.uint64(w)
+        odd = np.bincount(bits.astype(np.int64), minlength=w) & 1
+        out[i] = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
     return out
 
 
@@ -137,15 +153,17 @@ def _listed(level: np.ndarray):
         n = np.where(sizes >= NUM, prefix_length(sizes), 0)  # smaller sets are similar to equal ones alone
         first = np.cumsum(sizes) - sizes
         at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array((keys[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+        alone = keys[at] >> np.uint64(56) <= np.uint64(ALONE)
+        prefix = pa.array((keys[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), mask=alone)
+        prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), prefix)
         i32 = lambda a: pa.array(a.astype(np.int32))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(row_keys, pa.int64()), i32(lines), i32(sizes), pa.array(s1), pa.array(s2), prefix, pa.array(sketches(keys, sizes), pa.binary())],
-            names=["doc_id", "row_key", "line", "n", "s1", "s2", "prefix", "sig"],
+            [pa.array(ids, pa.int64()), pa.array(row_keys, pa.int64()), i32(lines), i32(sizes), pa.array(s1), pa.array(s2), prefix, pa.array(folds(keys, sizes)), pa.array(sketches(keys, sizes), pa.binary())],
+            names=["doc_id", "row_key", "line", "n", "s1", "s2", "prefix", "fold", "sig"],
         )
 
     def run(batches):
-        memory: dict[bytes, int] = {}
+        memory = _Memory()
         part, size = [], 0
         for b in batches:
             for doc_id, row_key, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row_key", "text")), strict=True):
@@ -162,11 +180,6 @@ def _listed(level: np.ndarray):
     return run
 
 
-def _fold(blobs: list[bytes]) -> np.ndarray:
-    """Sketches folded to 64 bits."""
-    return np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64)) for x in blobs], np.uint64)
-
-
 def _differ(x: bytes, y: bytes) -> int:
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     w = min(len(a), len(b))
@@ -208,7 +221,7 @@ def _candidates(batches):
         if not b.num_rows:
             continue
         sigs = b.column("sig").to_pylist()
-        held.append({"token": b.column("token").to_numpy(), "n": b.column("n").to_numpy().astype(np.int64), "i": b.column("i").to_numpy().astype(np.int64), "fold": _fold(sigs), "id": b.column("id").to_numpy(), "sig": np.array(sigs, object)})
+        held.append({"token": b.column("token").to_numpy(), "n": b.column("n").to_numpy().astype(np.int64), "i": b.column("i").to_numpy().astype(np.int64), "fold": b.column("fold").to_numpy().view(np.uint64), "id": b.column("id").to_numpy(), "sig": np.array(sigs, object)})
         rows += b.num_rows
         if rows < 100_000:
             continue
@@ -227,7 +240,7 @@ def _sets(level: np.ndarray):
     """Token sets of the asked lines of a text."""
 
     def run(batches):
-        memory: dict[bytes, int] = {}
+        memory = _Memory()
         for b in batches:
             ids, sizes_, lists = [], [], []
             for text, asks in zip(b.column("text").to_pylist(), b.column("asks").to_pylist(), strict=True):
@@ -282,10 +295,10 @@ def removals(docs: DataFrame) -> DataFrame:
     level = _levels(rarity(keyed))
     lines = stage(keyed.mapInArrow(_listed(level), LINES), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "line")
-    classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("place"), "row_key")).alias("f"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig"))
-    classes = classes.select(F.monotonically_increasing_id().alias("id"), "s1", "s2", "n", "f.place", "f.row_key", "prefix", "sig")
+    classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("place"), "row_key")).alias("f"), F.first("prefix").alias("prefix"), F.first("fold").alias("fold"), F.first("sig").alias("sig"))
+    classes = classes.select(F.monotonically_increasing_id().alias("id"), "s1", "s2", "n", "f.place", "f.row_key", "prefix", "fold", "sig")
     classes = stage(classes, "line-classes")
-    postings = classes.select("id", "n", "sig", F.posexplode("prefix").alias("i", "token"))
+    postings = classes.select("id", "n", "fold", "sig", F.posexplode("prefix").alias("i", "token")).where("token is not null")
     flagged = stage(postings.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_candidates, "id long").distinct(), "line-candidates")
     asks = classes.select("id", "s1", "s2", "n", "place", "row_key").join(flagged, "id")
     by_text = asks.groupBy("row_key").agg(F.collect_list(F.struct("id", "s1", "s2", "n")).alias("asks"))
@@ -317,7 +330,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     columns, but `removed` and n_near are replaced.
 
     Token counts over all texts, by hash bucket, give the order of rarity. Equal sets are one
-    class (pre-aggregated). A class meets others by its rarest tokens (prefix filter); pairs
+    class (pre-aggregated). A class meets others by its rarest tokens (prefix filter; a token that all texts hold once meets none); pairs
     pass by length, by position and by a parity sketch; only sets with such a pair are looked
     up, and meet again in whole, where their similarity is verified.
     """
