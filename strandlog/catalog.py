@@ -333,5 +333,6 @@ add("audit_forks", entity.audit_forks, """select did, count(*) as operations, (s
 add("verify_bundle", lambda o: compare.verified(o.where("not (bundle = 3 and position = 5)"), manifest.from_operations(o)), """select bundle_number, bundle_number <> 3 as valid, case when bundle_number = 3 then
   concat('content_hash,operation_count', case when (select count(distinct did) from ops where bundle = 3) <> (select count(distinct did) from ops where bundle = 3 and position <> 5) then ',did_count' else '' end) else '' end as errors from man""", MANIFEST)
 add_manifest("verify_sequence", lambda m: manifest.check_sequence(m.where("bundle_number <> 4"), 20), """select 1 as first, max(bundle_number) as last, count(*) as n, cast(1 as bigint) as gaps, false as valid from man where bundle_number <> 4""")
+add("rebuild_index", lambda o: manifest.chained(manifest.content(o)), "select bundle_number as bundle, start_time, end_time, operation_count, did_count, uncompressed_size, content_hash, parent, hash, cursor from man", MANIFEST)
 add_manifest("bundle_info", lambda m: m.where("bundle_number = 3").select("bundle_number", "hash", "operation_count"), "select bundle_number, hash, operation_count from man where bundle_number = 3")
 add("handle_lookup", lambda o: entity.handle_lookup(entity.folded(o)), "select replace(also_known_as, 'at://', '') as handle, did from state where not deactivated and also_known_as <> ''", STATE)

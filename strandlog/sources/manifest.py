@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlog.coords import BUNDLE_SIZE
 from strandlog.schema import MANIFEST
+from strandlog.sources.bundles import embedded_metadata, scan
 
 GENESIS = "genesis:"
 
@@ -64,6 +66,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return m.select(F.inline("bundles"))
 
 
+def rebuild(spark: SparkSession, folder: str, size: int = BUNDLE_SIZE, origin: str | None = None) -> DataFrame:
+    """The manifest of the bundle files in a folder: hashes of the files and of their lines, chained anew.
+
+    Every file has to name the same origin in its metadata (that given, if one is), and the
+    numbers have to go from 1 on without gaps; else ValueError. What comes to the driver is
+    one row of counts.
+    """
+    found = embedded_metadata(spark, folder)
+    own = found.select("bundle", F.get_json_object("metadata", "$.origin").alias("origin"))
+    r = own.agg(F.count_distinct("origin").alias("n"), F.min("origin").alias("one"), F.min("bundle").alias("first"), F.max("bundle").alias("last"), F.count_distinct("bundle").alias("bundles")).first()
+    if r.n > 1 or r.n and origin is not None and r.one != origin:
+        raise ValueError(f"bundle files of another origin: {r.n} origins, one of them {r.one!r}")
+    if r.bundles and (r.first != 1 or r.last != r.bundles):
+        raise ValueError(f"{r.bundles} bundle files, numbered {r.first} to {r.last}")
+    c = chained(content(scan(spark, folder, size)))
+    files = found.select("bundle", "length", "compressed_hash")
+    return c.join(files, "bundle").select(
+        F.col("bundle").alias("bundle_number"), "start_time", "end_time", "operation_count", "did_count", "hash", "content_hash", "parent",
+        "compressed_hash", F.col("length").alias("compressed_size"), "uncompressed_size", "cursor", F.col("end_time").alias("created_at"),
+    )
+
+
 def check_sequence(bundles: DataFrame, last_bundle: int | None = None) -> DataFrame:
     """first, last, n, gaps, and whether the numbers go from 1 to the last one without gaps."""
     w = Window.orderBy("bundle_number")

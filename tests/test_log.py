@@ -31,6 +31,21 @@ def test_bundle_files_round_trip(spark, ops, tmp_path):
         assert bundles.operation_at(data, p) == ops.where(f"bundle = 1 and position = {p}").first().raw
 
 
+def test_manifest_is_rebuilt_from_files(spark, ops, tmp_path):
+    folder = str(tmp_path / "repo")
+    written = {r.bundle: r for r in bundles.write(ops.where("bundle <= 2"), folder, "https://a.example").collect()}
+    got = {r.bundle_number: r for r in manifest.rebuild(spark, folder, 500, "https://a.example").collect()}
+    want = {r.bundle_number: r for r in manifest.from_operations(ops.where("bundle <= 2")).collect()}
+    same = ("start_time", "end_time", "operation_count", "did_count", "hash", "content_hash", "parent", "uncompressed_size", "cursor", "created_at")
+    assert set(got) == set(want) and all(got[k][c] == want[k][c] for k in want for c in same)
+    assert all((got[k].compressed_hash, got[k].compressed_size) == (w.compressed_hash, w.compressed_size) for k, w in written.items())
+    with pytest.raises(ValueError):
+        manifest.rebuild(spark, folder, 500, "https://b.example")
+    (tmp_path / "repo" / "000001.jsonl.zst").unlink()
+    with pytest.raises(ValueError):
+        manifest.rebuild(spark, folder, 500)
+
+
 def test_legacy_file_without_metadata(spark, tmp_path):
     import zstandard
 
