@@ -36,7 +36,10 @@ def query_stats(ops: DataFrame, value: Column) -> DataFrame:
     )
 
 
-def bundles(ops: DataFrame, spec: str, last: int) -> DataFrame:
+def bundles(ops: DataFrame, spec: str, last: int | None = None) -> DataFrame:
+    """Operations of the bundles of a spec; without `last`, the log's own last bundle is what head and latest count from."""
+    if last is None:
+        last = ops.agg(F.max("bundle")).first()[0] or 0
     return ops.where(within("bundle", bundle_intervals(spec, last)))
 
 
