@@ -262,7 +262,7 @@ LS = """select bundle_number as bundle, hash, substr(hash, 1, 12) as hash_short,
   cast(floor(epoch(cast(replace(end_time, 'Z', '') as timestamp))) - floor(epoch(cast(replace(start_time, 'Z', '') as timestamp))) as bigint) as timespan, start_time as start, end_time as end from man"""
 add_manifest("ls_bundles", stats.listed, LS)
 add_manifest("ls_last", lambda m: stats.listed(m).orderBy(F.desc("bundle")).limit(5), LS + " order by bundle desc limit 5")
-add("did_log_rev", lambda o: brief(o.where(f"did = {USER7}").orderBy(F.desc("global_pos")).limit(20)), B + f"where did = {USER7} order by global_pos desc limit 20")
+add("did_log_rev", lambda o: brief(o.where(f"did = {USER7}").orderBy(F.desc("global_pos"))), B + f"where did = {USER7} order by global_pos desc limit 20")
 add("random_dids", lambda o: index.random_dids(index.build(o), 50, 42), None)
 
 # --- set operations

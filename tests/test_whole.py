@@ -25,3 +25,9 @@ def test_head_and_latest_are_the_logs_own(spark, seven, sf):
     assert places(catalog.QUERIES["latest_n"](spark, sf)) == list(range(1000))
     with pytest.raises(ValueError, match="out of range"):  # bundle 3 of two, as in the reference's parse_bundle_range
         catalog.QUERIES["bundle_range"](spark, sf)
+
+
+def test_reversed_log_has_every_operation(spark, seven):
+    did = catalog.ops_of(spark, seven).where("global_pos = 7").first().did
+    got = [(r.global_pos, r.did) for r in catalog.QUERIES["did_log_rev"](spark, seven).collect()]
+    assert got == [(g, did) for g in range(3167, 0, -40)] and len(got) == 80
