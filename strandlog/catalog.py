@@ -164,11 +164,11 @@ add_manifest("compare_index", lambda m: compare.manifests(m, target_of(m)), "sel
 add("compare_ops", lambda o: compare.operations(o.where("bundle = 2"), o.where("bundle = 2 and position % 11 <> 0").withColumn("position", F.when(F.col("position") % 7 == 0, F.col("position") + 1).otherwise(F.col("position")))),
     """select cid, position as local, case when position % 11 <> 0 then case when position % 7 = 0 then position + 1 else position end end as remote,
        case when position % 11 = 0 then 'missing_remote' else 'position' end as kind from ops where bundle = 2 and (position % 11 = 0 or position % 7 = 0)""")
-add("did_ops_join", lambda o: index.lookup(index.build(o), o.where("position = 3").select("did")).join(o.select("global_pos", "cid"), "global_pos").select("did", "global_pos", "cid"),
+add("did_ops_join", lambda o: index.lookup(index.build(o), o.select("did")).join(o.select("global_pos", "cid"), "global_pos").select("did", "global_pos", "cid"),
     "select did, global_pos, cid from ops where did in (select did from ops where position = 3)")
-add("batch_resolve", lambda o: brief(log.batch_resolve(o, o.where("position % 100 = 1").select("did"))), B + "where did in (select did from ops where position % 100 = 1)")
-add("boundary_dedup", lambda o: brief(log.without_boundary(o.where("bundle = 2"), o.where("global_pos between 400 and 520"))), B + "where bundle = 2 and global_pos > 520")
-add("mempool_dedup", lambda o: brief(log.only_new(o.where("bundle = 2").unionByName(o.where("bundle = 2")), o.where("position % 3 = 0"))), B + "where bundle = 2 and position % 3 <> 0")
+add("batch_resolve", lambda o: brief(log.batch_resolve(o, o.select("did"))), B + "where did in (select did from ops where position % 100 = 1)")
+add("boundary_dedup", lambda o: brief(log.without_boundary(o, log.boundary_cids(o))), B + "where bundle = 2 and global_pos > 520")
+add("mempool_dedup", lambda o: brief(log.only_new(o.unionByName(o), log.sealed_and_pending(o)[1])), B + "where bundle = 2 and position % 3 <> 0")
 add_manifest("verify_chain", lambda m: compare.links(m.where("bundle_number <> 5")), """select bundle_number, case when bundle_number = 1 then parent = '' else bundle_number <> 6 end as parent_ok,
   case when bundle_number = 1 then cursor = '' else bundle_number <> 6 end as cursor_ok from man where bundle_number <> 5""")
 CANON = """,
