@@ -63,7 +63,7 @@ def names(ops: DataFrame) -> DataFrame:
     """Each at:// name of an operation, up to a slash."""
     aka = F.from_json(F.get_json_object("raw", "$.operation.alsoKnownAs"), "array<string>")
     n = ops.select(F.explode(aka).alias("name")).where(F.col("name").startswith("at://"))
-    return n.select(F.substring_index(F.substring("name", 6, 10_000), "/", 1).alias("name"))
+    return n.select(F.substring_index(F.expr("substr(name, 6)"), "/", 1).alias("name"))
 
 
 def domains(ops: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Queries of the catalogue over the whole log, against results worked out from the log's own rows."""
 
+import json
+
 import pytest
 
 from strandlog import catalog
+from strandlog.operators import stats
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +52,11 @@ def test_joins_and_dedups_take_the_whole_log(spark, seven):
                 break
             known.add(o[2])
     assert got["boundary_dedup"] == sorted(o[:3] for o in ops if o[2] not in known) and len(known) == 14
+
+
+def test_domain_of_a_very_long_name(spark):
+    names = ["at://" + "a." * 6000 + "far.example/x", "at://" + "b" * 12_000 + "_.near.example", "at://u.near.example"]
+    rows = [(json.dumps({"operation": {"alsoKnownAs": [n]}}),) for n in names]
+    df = spark.createDataFrame(rows, "raw string")
+    assert {(r.domain, r.n, r.invalid) for r in stats.domains(df).collect()} == {("far.example", 1, 0), ("near.example", 2, 1)}
+    assert [(r.domain, r.n) for r in stats.top(stats.domains(df), "domain").collect()] == [("near.example", 2), ("far.example", 1)]
