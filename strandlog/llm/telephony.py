@@ -83,11 +83,17 @@ def decode(tag: int, data: np.ndarray) -> np.ndarray:
     return adpcm_decode(data) if tag == ADPCM else TABLES[tag][data]
 
 
-def resample(pcm: np.ndarray) -> np.ndarray:
-    """8 to 16 kHz: the given samples, and between two of them a 4-point cubic (-1 9 9 -1)/16; ends are held."""
+def resample(pcm: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+    """8 to 16 kHz: the given samples, and between two of them a 4-point cubic (-1 9 9 -1)/16; ends are held.
+
+    Of a span of longer audio, before has the sample before it and after the two after it (fewer at its end).
+    """
     if not len(pcm):
         return pcm
-    x = np.concatenate([pcm[:1], pcm, pcm[-1:], pcm[-1:]]).astype(np.int32)
+    ahead = pcm[:1] if before is None or not len(before) else before[-1:]
+    rest = pcm[:0] if after is None else after[:2]
+    end = rest if len(rest) else pcm
+    x = np.concatenate([ahead, pcm, rest, *[end[-1:]] * (2 - len(rest))]).astype(np.int32)
     out = np.empty(2 * len(pcm), np.int16)
     out[0::2] = pcm
     out[1::2] = np.clip((9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8) >> 4, -32768, 32767)
@@ -155,12 +161,19 @@ def store(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def describe(tag: int, data: bytes) -> tuple[str, int, list[np.ndarray]]:
-    """(feature, samples, resampled parts): level and zero crossings of the decoded, resampled audio, span by span."""
+    """(feature, samples, resampled parts): level and zero crossings of the decoded, resampled audio, span by span.
+
+    Neighbouring samples are carried over the spans' bounds, so the result is that of the whole, whatever SPAN (two codes at least) is.
+    """
     codes = np.frombuffer(data, np.uint8)
+    spans = (decode(tag, codes[at : at + SPAN]) for at in range(0, len(codes), SPAN))
     n = peak = crossings = 0
     power, parts, last = 0, [], 0
-    for at in range(0, len(codes), SPAN):
-        pcm = resample(decode(tag, codes[at : at + SPAN]))
+    before, now = None, next(spans, None)
+    while now is not None:
+        after = next(spans, None)
+        pcm = resample(now, before, after)
+        before, now = now, after
         wide = pcm.astype(np.int32)
         power += int(np.square(wide, dtype=np.int64).sum())
         peak = max(peak, int(np.abs(wide).max()))
