@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.llm import bpe, chat, egojoin, lines, mixing, simhash, suffixes, telephony, toxicity, warc
-from strandlog.llm._common import table
+from strandlog.llm._common import stage, table
 
 TOKENIZER = os.environ.get("STRANDLOG_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
 
@@ -50,7 +50,8 @@ from y group by conv_id, perspective, part
 
 
 def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.read_back(telephony.store(table(spark, sf_dir, "documents")))
+    media = stage(telephony.store(table(spark, sf_dir, "documents")), "telephony-media")
+    return stage(telephony.read_back(media, pcm=True), "telephony-pcm").drop("pcm")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from strandlog.llm import telephony
+from strandlog.llm import queries, telephony
 
 
 @pytest.mark.parametrize("tag", telephony.NAMES)
@@ -15,3 +15,24 @@ def test_audio_does_not_depend_on_the_span(monkeypatch, tag):
         monkeypatch.setattr(telephony, "SPAN", span)
         got = telephony.describe(tag, data.tobytes())
         assert got[:2] == (feature, len(whole)) and np.concatenate(got[2]).tolist() == whole.tolist()
+
+
+def test_media_and_pcm_are_stored(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "abc"), (2, None), (3, "x" * 500)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    stored = {}
+
+    def stage(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return stored.setdefault(name, spark.read.schema(df.schema).parquet(f"{tmp_path}/{name}"))
+
+    monkeypatch.setattr(queries, "stage", stage, raising=False)
+    got = {r.doc_id: r for r in queries.op3_telephony(spark, str(tmp_path)).collect()}
+    media = {r.doc_id: bytes(r.media) for r in stored["telephony-media"].collect()}
+    pcm = {r.doc_id: bytes(r.pcm) for r in stored["telephony-pcm"].collect()}
+    assert set(got) == set(media) == set(pcm) == {1, 2, 3}
+    for k, text in ((1, "abc"), (2, None), (3, "x" * 500)):
+        _, payload = telephony.payload_of(text)
+        tag = telephony.pick(payload)
+        assert media[k] == telephony.wave(tag, payload)
+        assert pcm[k] == telephony.resample(telephony.decode(tag, np.frombuffer(payload, np.uint8))).astype("<i2").tobytes()
+        assert got[k].feature == telephony.describe(tag, payload)[0] and "pcm" not in got[k].asDict()
