@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm._common import roots, stage
+from strandlog.llm._common import roots, spare, stage
 from strandlog.llm.components import components
 
 #: Population counts of the four 16-bit words of a fingerprint give its cell: 17 values each.
@@ -44,15 +44,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; a null text has no words."""
+def fingerprints(docs: DataFrame, words: int = 3, key: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and, of a column to keep, key of every row; a null text has no words."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", "key"][: b.num_columns])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    kept = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col(key).alias("key")] if key else [])]
+    return docs.select(*kept).mapInArrow(run, "doc_id long, fp long" + ", key string" * bool(key))
 
 
 def _counts(fp: np.ndarray, width: int) -> np.ndarray:
@@ -215,6 +216,13 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key", "flag").mapInArrow(_link(radius), "a long, b long")
 
 
+def rooted(fp: DataFrame, least: Column, radius: int) -> DataFrame:
+    """fp, least (aggregated over its rows) and root (its component's smallest fingerprint) of each distinct fp."""
+    classes = stage(fp.groupBy("fp").agg(least), "simhash-classes")
+    root = components(links(classes, radius), "simhash-links")
+    return classes.join(root, classes.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, one row for each row of docs (doc_id, text).
 
@@ -226,9 +234,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFra
     is pre-aggregated), so a large group of copies is one fingerprint to compare.
     """
     fp = stage(fingerprints(docs, words), "simhash")
-    classes = stage(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    root = components(links(classes, radius), "simhash-links")
-    linked = classes.join(root, classes.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = rooted(fp, F.min("doc_id").alias("least"), radius)
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_n"))
     of = linked.select("fp", "root").join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return fp.join(of, F.col("fp") == F.col("_fp")).select("doc_id", hex_fp().alias("fingerprint"), "component_id")
@@ -239,12 +245,17 @@ def hex_fp():
 
 
 def keep_one(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest (with all their columns); of components without ids, all rows.
+    """One row of docs for each component, with all its columns: that of the smallest doc_id, null ids last.
 
-    Rows that repeat that doc_id in the same component stay together only if they are one text's
-    repeats in the input; of these the result has one.
+    Of rows with that doc_id the one of the least text digest stays, then that of the least hash of
+    all columns. A null doc_id is no name: a component of only such rows keeps one of them too.
     """
-    near = near_duplicates(docs, radius, words).where("doc_id = component_id").select(F.col("doc_id").alias("_keep"), "fingerprint").distinct()
-    unidentified = docs.where("doc_id is null")
-    kept = docs.join(near.select("_keep").distinct(), F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(unidentified)
+    key = spare(docs.columns)
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    # starts with the id, so that null ids ("") and ids never share a key, nor do two texts: a key is of one component
+    named = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest, F.xxhash64(*docs.columns).cast("string"))
+    keyed = docs.withColumn(key, named)
+    fp = stage(fingerprints(keyed, words, key), "simhash")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    best = rooted(fp, least.alias("least"), radius).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias(key + "_"))
+    return keyed.join(best, F.col(key) == F.col(key + "_"), "left_semi").dropDuplicates([key]).drop(key)

@@ -1,9 +1,13 @@
 """Corpus operators over inputs that do not fit one span, part or id, against their whole computation."""
 
+import random
+
 import numpy as np
 import pytest
 
-from strandlog.llm import queries, telephony
+from test_operators import docs_of, words
+
+from strandlog.llm import queries, simhash, telephony
 
 
 @pytest.mark.parametrize("tag", telephony.NAMES)
@@ -36,3 +40,11 @@ def test_media_and_pcm_are_stored(spark, tmp_path, monkeypatch):
         assert media[k] == telephony.wave(tag, payload)
         assert pcm[k] == telephony.resample(telephony.decode(tag, np.frombuffer(payload, np.uint8))).astype("<i2").tobytes()
         assert got[k].feature == telephony.describe(tag, payload)[0] and "pcm" not in got[k].asDict()
+
+
+def test_one_row_of_each_component(spark):
+    rng = random.Random(5)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(None, a), (None, a), (None, a), (None, b), (9, b), (7, c), (7, d), (8, c), (None, None), (None, ""), (7, c)]
+    kept = sorted(((r.doc_id, r.text or "") for r in simhash.keep_one(docs_of(spark, rows)).collect()), key=repr)
+    assert kept == sorted([(None, a), (9, b), (7, c), (7, d), (None, "")], key=repr)
