@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -22,10 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a folder of this machine serves a local master; any other master needs the setting.
+    """
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if set_to:
         return set_to.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir is not set, and the executors of {master} see no folder of this machine")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="strandlog-shared-")
@@ -38,6 +45,21 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Shuffle files of a job go when the job has ended, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Within it, jobs delete their shuffle files at their end: for jobs whose result is stored or collected."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet to the shared folder and reads it back.
 
@@ -46,18 +68,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def unstage(df: DataFrame) -> None:
+    """Deletes what stage() wrote for df, which no later job may read."""
+    item = (df.sparkSession, df._staged)
+    _delete(*item)
+    _STAGED.remove(item)
 
 
 def drop_staged() -> None:
     """Deletes what stage() and fresh_dir() made; runs at exit too."""
     while _STAGED:
-        spark, path = _STAGED.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(*_STAGED.pop())
         except Exception:  # the session has ended; the cluster's own clean-up takes the folder
             return
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm._common import stage
+from strandlog.llm._common import stage, unstage
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -28,8 +28,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """edges (a long, b long), in any direction and with repeats, to (node, root): the smallest node reachable.
 
     Nodes without an edge to another node are left out; edges with a null end and
-    self-links are ignored; no edges give no rows. Each round is staged, so a lost
-    executor costs one round at most. Hubs are pre-aggregated (min) before the
+    self-links are ignored; no edges give no rows. Each round is staged and the one before it
+    deleted, so a lost executor costs one round at most. Hubs are pre-aggregated (min) before the
     shuffle, and the joins are plain shuffled joins that AQE can split.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(
@@ -38,7 +38,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     e = stage(e.distinct(), name)
     mark = None
     while True:
-        e = stage(_small(_large(e)), name)
+        before, e = e, stage(_small(_large(e)), name)
+        unstage(before)
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if not now[0] or now == mark:
             break

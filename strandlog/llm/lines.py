@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm._common import only_likely, stage
+from strandlog.llm._common import only_likely, stage, tidy, unstage
 
 #: Jaccard similarity of token sets, as a fraction.
 NUM, DEN = 4, 5
 #: Token counts are kept by this many hash buckets; any order of tokens gives the same result, a good one gives it sooner.
-BUCKETS = 1 << 18
-REMEMBER = 1 << 20
-FLUSH = 400_000
-
-LINES = "doc_id long, row_key long, line int, n int, s1 long, s2 long, prefix array<int>, fold long, sig binary"
+BUCKETS, SLICE = 1 << 20, 1 << 14
+#: Bytes of text that are split at once (a longer line is split by itself), and lines.
+CHUNK, MOST_LINES = 1 << 20, (1 << 16) - 1
+#: Postings that are dealt at once, that a bucket holds on average, and from which a token is dealt to cells of its own.
+FLUSH, HELD, HOT = 1_000_000, 400_000, 50_000
+#: Tokens that can be hot: those with over one in so many of all postings.
+HOT_TOKENS = 4096
+#: Earlier sets that a set is verified against in the first round, and how many times more in each round after it.
+WITNESSES, MORE = 1, 16
+
+LINES = "doc_id long, row_key long, line int, n int, s1 long, s2 long, f0 long, f1 long, prefix array<int>"
+POSTING = [("token", "<u4"), ("n", "<u4"), ("i", "<u4"), ("id", "<u8"), ("f0", "<u8"), ("f1", "<u8"), ("probe", "u1")]
+WIDTH = sum(np.dtype(t).itemsize for _, t in POSTING)
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Odd bases of the two polynomial hashes of a word.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_U = np.uint64
 
 
 def least_overlap(n, m):
@@ -32,290 +46,458 @@ def prefix_length(n):
     return n - -(-NUM * n // DEN) + 1
 
 
-class _Memory(dict):
-    """Hashes of words, made when first asked for; trim() bounds what is kept."""
+def _mix(h: np.ndarray, by: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ h >> _U(32)) * _U(by)
+        return h ^ h >> _U(29)
 
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-    def trim(self):
-        if len(self) > REMEMBER:
-            self.clear()
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of base and of its inverse, modulo 2**64."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        with np.errstate(over="ignore"):
+            _POWERS[base] = tuple(
+                np.cumprod(np.r_[_U(1), np.full(max(n, CHUNK), _U(b), np.uint64)]) for b in (base, pow(base, -1, 1 << 64))
+            )
+    return _POWERS[base]
 
 
-def _bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass").lower()
+def _hashes(y: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """64-bit hashes of the words y[start:end]: differences of one running polynomial, moved to power 0, and mixed."""
+    up, down = _powers(base, len(y) + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(y) + 1, np.uint64)
+        np.cumsum((y.astype(np.uint64) + _U(1)) * up[: len(y)], out=total[1:])
+        return _mix((total[ends] - total[starts]) * down[starts], 0xFF51AFD7ED558CCD)
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string column without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    wide = pa.types.is_large_string(column.type)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+class Words:
+    """The words of a run of whole lines: owner (line of the run), a first and a second hash."""
+
+    def __init__(self, raw: np.ndarray, first: np.ndarray):
+        """first: the places in raw at which lines start."""
+        y = _LOWER[raw]
+        word = ~_SPACE[y]
+        fresh = np.zeros(len(y) + 1, bool)
+        fresh[first[first < len(y)]] = True
+        open_ = word.copy()
+        open_[1:] &= ~word[:-1] | fresh[1:-1]
+        shut = word.copy()
+        shut[:-1] &= ~word[1:] | fresh[1:-1]
+        starts, ends = np.flatnonzero(open_), np.flatnonzero(shut) + 1
+        self.owner = np.searchsorted(first, starts, "right") - 1  # of equal starts (empty lines) the last is the one with bytes
+        self.h, self.g = (_hashes(y, starts, ends, b) for b in _BASES)
+
+
+def runs(column: pa.Array):
+    """(bytes, starts of lines, text and line number of each) of whole lines, CHUNK bytes or one line at a time."""
+    raw, at = _texts(column)
+    ends = np.flatnonzero(raw == 10)
+    # a line starts at each text's start and after each line end, so a text of k line ends has k + 1 lines
+    owner = np.r_[np.arange(len(at) - 1), np.searchsorted(at, ends, "right") - 1]
+    starts = np.r_[at[:-1], ends + 1]
+    order = np.lexsort((starts, owner))
+    starts, owner = starts[order], owner[order]
+    new = np.r_[True, owner[1:] != owner[:-1]] if len(owner) else np.empty(0, bool)
+    number = np.arange(len(owner)) - np.maximum.accumulate(np.where(new, np.arange(len(owner)), 0))
+    k = 0
+    while k < len(starts):
+        m = min(max(k + 1, int(np.searchsorted(starts, starts[k] + CHUNK, "right")) - 1), k + MOST_LINES, len(starts))
+        to = starts[m] if m < len(starts) else len(raw)
+        yield raw[starts[k] : to], starts[k:m] - starts[k], owner[k:m], number[k:m]
+        k = m
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """Occurrences of tokens over all of docs, by hash bucket: BUCKETS numbers, whatever the corpus."""
-
-    def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
-        count: Counter[bytes] = Counter()
+    """Levels of the occurrences of tokens over all of docs, by hash bucket: BUCKETS bytes, whatever the corpus.
 
-        def add():
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, count), np.uint64, len(count)) % np.uint64(BUCKETS)
-            np.add.at(total, h.astype(np.int64), np.fromiter(count.values(), np.int64, len(count)))
-            count.clear()
+    A level is 8 times the binary logarithm of one more than the count, 255 at most.
+    """
 
+    def count(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for raw, first, _, _ in runs(b.column(0)):
+                total += np.bincount((Words(raw, first).h % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        if total.any():
+            parts = total.reshape(-1, SLICE)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([_pack(p) for p in parts], pa.binary())], names=["part", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for text in b.column("text").to_pylist():
-                count.update(_bytes(text).split())
-                if len(count) > REMEMBER:
-                    add()
-        add()
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
-
-    t = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int64)
-    out[t["bucket"].to_numpy(dtype=np.int64)] = t["n"].to_numpy(dtype=np.int64)
+            for part, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                got = _unpack(counts.as_buffer())
+                sums[part] = sums[part] + got if part in sums else got
+        level = [np.minimum(255, np.floor(8 * np.log2(1 + s))).astype(np.uint8).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], names=["part", "level"])
+
+    out = np.zeros(BUCKETS, np.uint8)
+    with tidy(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(add, "part int, level binary").collect()
+    for part, level in rows:
+        out[part * SLICE : (part + 1) * SLICE] = np.frombuffer(level, np.uint8)
     return out
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    """Counts as 8-bit levels, eight to a doubling, so that a token's place in the order fits in its key's top byte."""
-    return np.minimum(255, np.floor(8 * np.log2(1 + counts))).astype(np.uint64)
+def _pack(counts: np.ndarray) -> bytes:
+    """Byte planes, the low one first: those of small counts are zero, and Spark compresses what it shuffles."""
+    return np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpack(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
 
 
 #: The level of a token that is there once in all texts: no other set holds it.
 ALONE = 8
 
 
-def token_sets(data: bytes, level: np.ndarray, memory: _Memory) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lines with words, sizes of their token sets, the tokens' keys in the order of rarity, line after line)."""
-    which, sizes, flat = [], [], []
-    for k, line in enumerate(data.split(b"\n")):
-        words = set(line.split())
-        if words:
-            which.append(k)
-            sizes.append(len(words))
-            flat.extend(map(memory.__getitem__, words))
-    memory.trim()
-    h = np.array(flat, np.uint64)
+def token_sets(raw: np.ndarray, first: np.ndarray, level: np.ndarray):
+    """(lines with words, sizes of their token sets, the tokens' keys in the order of rarity, their second hashes), line after line."""
+    w = Words(raw, first)
     # rarity, then hash: one order for all lines; the lowest bits give way to the level
-    key = level[(h % np.uint64(BUCKETS)).astype(np.int64)] << np.uint64(56) | h >> np.uint64(8)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((key, owner))
-    return np.array(which, np.int64), np.array(sizes, np.int64), key[order]
-
+    key = level[(w.h % _U(BUCKETS)).astype(np.int64)].astype(np.uint64) << _U(56) | w.h >> _U(8)
+    order = np.argsort(key)
+    order = order[np.argsort(w.owner[order].astype(np.uint16), kind="stable")]
+    owner, key, other = w.owner[order], key[order], w.g[order]
+    if len(owner):
+        new = np.r_[True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1]) | (other[1:] != other[:-1])]
+        owner, key, other = owner[new], key[new], other[new]
+    which, sizes = np.unique(owner, return_counts=True)
+    return which, sizes, key, other
 
-def _mix(h: np.ndarray, by: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ h >> np.uint64(32)) * np.uint64(by)
-        return h ^ h >> np.uint64(29)
 
+def _described(which, sizes, key, other):
+    """n, two 64-bit digests of each set (of independent hashes of its tokens), its 128-bit parity sketch and its prefix.
 
-def set_digests(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each token set; with its size they name the set."""
-    if not len(sizes):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    Bit k of the sketch tells whether an odd number of tokens fall on k: sets that differ in d tokens differ in d bits at most.
+    """
     first = np.cumsum(sizes) - sizes
     with np.errstate(over="ignore"):
-        s1 = np.add.reduceat(_mix(keys, 0x9E3779B97F4A7C15), first)
-    s2 = np.bitwise_xor.reduceat(_mix(keys, 0xC2B2AE3D27D4EB4F), first)
-    return s1.view(np.int64), s2.view(np.int64)
+        s1 = np.add.reduceat(_mix(key, _BASES[0]), first).view(np.int64)
+        s2 = np.add.reduceat(_mix(other, _BASES[1]), first).view(np.int64)
+    place = _mix(other, _BASES[0])
+    bit, high = _U(1) << (place & _U(63)), (place >> _U(6) & _U(1)).astype(bool)
+    f0, f1 = (np.bitwise_xor.reduceat(np.where(high == x, bit, _U(0)), first).view(np.int64) for x in (False, True))
+    n = np.where(sizes >= NUM, prefix_length(sizes), 0)  # smaller sets are similar to equal ones alone
+    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    alone = key[at] >> _U(56) <= _U(ALONE)
+    tokens = pa.array((key[at] & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32), mask=alone)
+    prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), tokens)
+    return [pa.array(sizes.astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(f0), pa.array(f1), prefix]
 
 
-def width_of(n: int) -> int:
-    """Bits of the parity sketch of a set of n tokens: a power of two, 64 at least and n at least up to 4096."""
-    return min(4096, max(64, 1 << (n - 1).bit_length()))
+def _listed(level: np.ndarray):
+    """A row for each line with words."""
 
+    def run(batches):
+        for b in batches:
+            ids, keys = b.column("doc_id"), b.column("row_key")
+            for raw, first, owner, number in runs(b.column("text")):
+                which, sizes, key, other = token_sets(raw, first, level)
+                if len(which):
+                    rows = pa.array(owner[which])
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(rows), keys.take(rows), pa.array(number[which].astype(np.int32)), *_described(which, sizes, key, other)],
+                        names=["doc_id", "row_key", "line", "n", "s1", "s2", "f0", "f1", "prefix"],
+                    )
 
-def folds(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Parity sketches of 64 bits: bit k tells whether an odd number of tokens fall on k. Sets that differ in d tokens differ in d bits at most."""
-    if not len(sizes):
-        return np.empty(0, np.int64)
-    bit = np.uint64(1) << (_mix(keys, 0xFF51AFD7ED558CCD) & np.uint64(63))
-    return np.bitwise_xor.reduceat(bit, np.cumsum(sizes) - sizes).view(np.int64)
+    return run
 
 
-def sketches(keys: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
-    """Wider parity sketches of the sets of over 64 tokens, None for the others, which their fold describes as well."""
-    out: list[bytes | None] = [None] * len(sizes)
-    first = np.cumsum(sizes) - sizes
-    for i in np.flatnonzero(sizes > 64).tolist():
-        w = width_of(int(sizes[i]))
-        bits = _mix(keys[first[i] : first[i] + sizes[i]], 0xFF51AFD7ED558CCD) % np.uint64(w)
-        odd = np.bincount(bits.astype(np.int64), minlength=w) & 1
-        out[i] = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-    return out
+def _parts(count: int) -> int:
+    return -(-count // HOT)
 
 
-def _listed(level: np.ndarray):
-    """A row for each line with words."""
+def _deal(buckets: int, hot: dict[int, tuple[int, int]], wanted: np.ndarray | None):
+    """Postings (of wanted tokens, a bitmap over 2**23 hashes) as blobs by key: a bucket of tokens, or a cell of a hot one.
 
-    def emit(part):
-        ids, row_keys, lines, sizes, keys = (sum((p[k] for p in part), []) if k < 2 else np.concatenate([p[k] for p in part]) for k in range(5))
-        s1, s2 = set_digests(keys, sizes)
-        n = np.where(sizes >= NUM, prefix_length(sizes), 0)  # smaller sets are similar to equal ones alone
-        first = np.cumsum(sizes) - sizes
-        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        alone = keys[at] >> np.uint64(56) <= np.uint64(ALONE)
-        prefix = pa.array((keys[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), mask=alone)
-        prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), prefix)
-        i32 = lambda a: pa.array(a.astype(np.int32))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(row_keys, pa.int64()), i32(lines), i32(sizes), pa.array(s1), pa.array(s2), prefix, pa.array(folds(keys, sizes)), pa.array(sketches(keys, sizes), pa.binary())],
-            names=["doc_id", "row_key", "line", "n", "s1", "s2", "prefix", "fold", "sig"],
-        )
+    The sets of a hot token are dealt to parts, and each pair of its parts is a cell: any two sets meet in one.
+    """
+    spots = np.array(sorted(hot), np.uint32)
+    base = {t: (k, *hot[int(t)]) for k, t in enumerate(spots.tolist())}
+
+    def blobs(part):
+        cols = {c: np.concatenate([p[c] for p in part]) for c, _ in POSTING}
+        key = (cols["token"] % np.uint32(buckets)).astype(np.int64)
+        own = np.arange(len(key))
+        if len(spots):
+            is_hot = np.isin(cols["token"], spots)
+            keys, owners = [key[~is_hot]], [own[~is_hot]]
+            for t, (_, start, parts) in base.items():
+                mine = own[is_hot & (cols["token"] == t)]
+                if not len(mine):
+                    continue
+                part_ = (_mix(cols["id"][mine], _BASES[0]) % _U(parts)).astype(np.int64)
+                for other in range(parts):
+                    low, high = np.minimum(part_, other), np.maximum(part_, other)
+                    keys.append(-1 - (start + low * parts + high))
+                    owners.append(mine)
+            key, own = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key, kind="stable")
+        key, own = key[order], own[order]
+        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[cut[1:], len(key)]
+        cols = {c: cols[c][own] for c in cols}
+        packed = [b"".join(_planes(cols[c][a:b], t) for c, t in POSTING) for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(packed, pa.binary())], names=["key", "postings"])
 
     def run(batches):
-        memory = _Memory()
         part, size = [], 0
         for b in batches:
-            for doc_id, row_key, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row_key", "text")), strict=True):
-                which, sizes, keys = token_sets(_bytes(text), level, memory)
-                if len(which):
-                    part.append(([doc_id] * len(which), [row_key] * len(which), which, sizes, keys))
-                    size += len(keys)
-                if size > FLUSH:
-                    yield emit(part)
-                    part, size = [], 0
+            prefix = b.column("prefix")
+            lengths = np.diff(prefix.offsets.to_numpy())
+            tokens = prefix.flatten()
+            has = tokens.is_valid().to_numpy(zero_copy_only=False)
+            token = tokens.fill_null(0).to_numpy().view(np.uint32)
+            if wanted is not None:
+                h = _spread(token)
+                has &= (wanted[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
+            row = np.repeat(np.arange(len(lengths)), lengths)[has]
+            i = (np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[has]
+            if not len(row):
+                continue
+            take = lambda c: b.column(c).to_numpy(zero_copy_only=False)[row]  # noqa: B023, E731
+            part.append({"token": token[has], "n": take("n").astype(np.uint32), "i": i.astype(np.uint32), "id": take("id").view(np.uint64), "f0": take("f0").view(np.uint64), "f1": take("f1").view(np.uint64), "probe": take("probe").astype(np.uint8)})
+            size += len(row)
+            if size >= FLUSH:
+                yield blobs(part)
+                part, size = [], 0
         if part:
-            yield emit(part)
+            yield blobs(part)
 
     return run
 
 
-def _differ(x: bytes, y: bytes) -> int:
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    w = min(len(a), len(b))
-    return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, w), 0) ^ np.bitwise_xor.reduce(b.reshape(-1, w), 0)).sum())
+def _spread(token: np.ndarray) -> np.ndarray:
+    return (_mix(token.astype(np.uint64), _BASES[1]) & _U((1 << 23) - 1)).astype(np.int64)
+
+
+def _planes(col: np.ndarray, kind: str) -> bytes:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(col.astype(kind).view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def _read(blob) -> dict[str, np.ndarray]:
+    raw = np.frombuffer(blob, np.uint8)
+    k, at, out = len(raw) // WIDTH, 0, {}
+    for c, kind in POSTING:
+        width = np.dtype(kind).itemsize
+        out[c] = np.ascontiguousarray(raw[at : at + k * width].reshape(width, k).T).view(kind).ravel()
+        at += k * width
+    return out
 
 
-def _candidates(batches):
-    """Rows in the order of (token, n): ids of the sets that have a candidate by length, position and sketch."""
+def compare(t: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
+    """x, y, dist and more: for each posting of a probe, up to `most` sets y of the same token and a smaller id that may be similar to x.
 
-    def compare(t: dict) -> np.ndarray:
-        token, n, i, fold, ids, sigs = (t[k] for k in ("token", "n", "i", "fold", "id", "sig"))
-        flagged = np.zeros(len(token), bool)
-        live = np.arange(len(token))
-        k = 0
-        while len(live):
-            k += 1
-            live = live[live + k < len(token)]
-            a, b = live, live + k
-            near = (token[a] == token[b]) & (NUM * n[b] <= DEN * n[a])
-            live = a = live[near]  # ordered by n: what is too long for k is too long for more
-            b = a + k
+    Filters: sizes, the token's positions, parity sketches. more: the search was ended by `most`.
+    """
+    key = t["token"].astype(np.uint64) << _U(32) | t["n"].astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    n, i = t["n"][order].astype(np.int64), t["i"][order].astype(np.int64)
+    ids, f0, f1 = t["id"][order], t["f0"][order], t["f1"][order]
+    token = key & ~_U(0xFFFFFFFF)
+    low = np.searchsorted(key, token | (-(-NUM * n // DEN)).astype(np.uint64))
+    high = np.searchsorted(key, token | (DEN * n // NUM).astype(np.uint64), "right")
+    live = np.flatnonzero(t["probe"][order] & (high - low > 1))
+    found, more = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    xs, ys, ds = [], [], []
+    k = 0
+    while len(live):
+        k += 1
+        for step in (-k, k):
+            b = live + step
+            ok = b >= low[live] if step < 0 else b < high[live]
+            a, b = live[ok], b[ok]
+            ok = ids[b] < ids[a]
+            a, b = a[ok], b[ok]
             need = least_overlap(n[a], n[b])
-            ok = (np.minimum(n[a] - i[a], n[b] - i[b]) >= need) & (np.bitwise_count(fold[a] ^ fold[b]) <= n[a] + n[b] - 2 * need)
-            ok &= ~(flagged[a] & flagged[b]) & (ids[a] != ids[b])
-            a, b, need = a[ok], b[ok], need[ok]
-            wide = np.flatnonzero(n[a] > 64)
-            if len(wide):
-                good = np.ones(len(a), bool)
-                for x in wide.tolist():
-                    good[x] = _differ(sigs[a[x]], sigs[b[x]]) <= n[a[x]] + n[b[x]] - 2 * need[x]
-                a, b = a[good], b[good]
-            flagged[a] = flagged[b] = True
-        return np.unique(ids[flagged])
-
-    held: list[dict] = []
-    rows = 0
-    names = ("token", "n", "i", "fold", "id", "sig")
-    for b in batches:
-        if not b.num_rows:
-            continue
-        sigs = b.column("sig").to_pylist()
-        held.append({"token": b.column("token").to_numpy(), "n": b.column("n").to_numpy().astype(np.int64), "i": b.column("i").to_numpy().astype(np.int64), "fold": b.column("fold").to_numpy().view(np.uint64), "id": b.column("id").to_numpy(), "sig": np.array(sigs, object)})
-        rows += b.num_rows
-        if rows < 100_000:
-            continue
-        t = {k: np.concatenate([h[k] for h in held]) for k in names}
-        yield pa.RecordBatch.from_arrays([pa.array(compare(t))], names=["id"])
-        # what later rows of the last token can still be similar to
-        keep = (t["token"] == t["token"][-1]) & (DEN * t["n"] >= NUM * t["n"][-1])
-        held = [{k: v[keep] for k, v in t.items()}]
-        rows = min(int(keep.sum()), 50_000)  # where a frequent token holds more, go on by that many new rows at least
-    if held:
-        t = {k: np.concatenate([h[k] for h in held]) for k in names}
-        yield pa.RecordBatch.from_arrays([pa.array(compare(t))], names=["id"])
-
-
-def _sets(level: np.ndarray):
-    """Token sets of the asked lines of a text."""
+            d = np.bitwise_count(f0[a] ^ f0[b]).astype(np.int64) + np.bitwise_count(f1[a] ^ f1[b])
+            ok = (d <= n[a] + n[b] - 2 * need) & (np.minimum(n[a] - i[a], n[b] - i[b]) >= need)
+            a, b = a[ok], b[ok]
+            if len(a):
+                found[a] += 1
+                xs.append(a), ys.append(b), ds.append(d[ok])
+        full = found[live] >= most
+        more[live[full]] = True
+        live = live[~full & ((live - k > low[live]) | (live + k + 1 < high[live]))]
+    if not xs:
+        return {c: np.empty(0, kind) for c, kind in (("x", np.int64), ("y", np.int64), ("dist", np.int32), ("more", bool))}
+    a, b, d = map(np.concatenate, (xs, ys, ds))
+    return {"x": ids[a].view(np.int64), "y": ids[b].view(np.int64), "dist": d.astype(np.int32), "more": more[a]}
+
+
+def _candidates(most: int):
+    """Rows in the order of key: the postings of a key are held and compared."""
 
     def run(batches):
-        memory = _Memory()
+        now, held = None, []
+
+        def flush():
+            t = {c: np.concatenate([h[c] for h in held]) for c, _ in POSTING}
+            got = compare(t, most)
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in got.values()], names=list(got))
+
         for b in batches:
-            ids, sizes_, lists = [], [], []
-            for text, asks in zip(b.column("text").to_pylist(), b.column("asks").to_pylist(), strict=True):
-                want = {(a["s1"], a["s2"], a["n"]): a["id"] for a in asks}
-                _, sizes, keys = token_sets(_bytes(text), level, memory)
-                s1, s2 = set_digests(keys, sizes)
-                first = np.cumsum(sizes) - sizes
-                for x, y, n, f in zip(s1.tolist(), s2.tolist(), sizes.tolist(), first.tolist(), strict=True):
-                    i = want.pop((x, y, n), None)
-                    if i is not None:
-                        ids.append(i)
-                        sizes_.append(n)
-                        lists.append(keys[f : f + n].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes_, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["id", "n", "tokens"])
+            for key, blob in zip(b.column("key").to_pylist(), b.column("postings"), strict=True):
+                if key != now:
+                    if held:
+                        yield flush()
+                    now, held = key, []
+                held.append(_read(blob.as_buffer()))
+        if held:
+            yield flush()
 
     return run
 
 
+def _words(line: bytes) -> frozenset[bytes]:
+    return frozenset(line.lower().split())
+
+
 def _verified(batches):
-    """Rows in the order of (token, n, place): ids of the sets that are similar to one of an earlier place."""
-    now, window = None, []
+    """Pairs of whole lines: x, and whether the Jaccard similarity of their words is NUM / DEN or more and x is of a later place."""
     for b in batches:
-        found = set()
-        for token, n, id_, place, tokens in zip(b.column("token").to_pylist(), b.column("n").to_pylist(), b.column("id").to_pylist(), b.column("place").to_pylist(), b.column("tokens"), strict=True):
-            if token != now:
-                now, window = token, []
-            while window and DEN * window[0][0] < NUM * n:
-                window.pop(0)
-            place = tuple(place.values())
-            own = [n, id_, place, frozenset(tokens.values.to_numpy().tolist()), False]
-            for other in window:
-                late, early = (own, other) if other[2] < place else (other, own)
-                if late[4] or late[2] == early[2] or late[1] == early[1]:
-                    continue
-                if len(own[3] & other[3]) >= least_overlap(n, other[0]):
-                    late[4] = True
-                    found.add(late[1])
-            window.append(own)
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["id"])
+        ok = []
+        for p, q, later in zip(b.column("words").to_pylist(), b.column("other").to_pylist(), b.column("later").to_pylist(), strict=True):
+            s, t = _words(p), _words(q)
+            ok.append(later and DEN * len(s & t) >= NUM * len(s | t))
+        yield pa.RecordBatch.from_arrays([b.column("x"), pa.array(ok, pa.bool_()), b.column("open")], names=["x", "ok", "open"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def _place() -> F.Column:
+    return F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "line")
+
+
+def _check(checks: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """checks (x, y, open) to (x, ok, open): the lines of x and y are looked up in their texts and compared in whole. Staged."""
+    ids = checks.select(F.col("x").alias("k")).unionByName(checks.select(F.col("y").alias("k"))).distinct()
+    asked = stage(classes.join(ids, F.col("id") == F.col("k")).select("id", "place", "row_key", F.xxhash64("row_key", "place.line").alias("at")), "lines-asked")
+    each = keyed.select("row_key", F.posexplode(F.split("text", "\n", -1)).alias("number", "words"))
+    each = only_likely(each.withColumn("at", F.xxhash64("row_key", "number")), asked, "at").select(F.col("row_key").alias("r"), "number", F.col("words").cast("binary").alias("words"))
+    texts = each.join(asked, (F.col("r") == F.col("row_key")) & (F.col("number") == F.col("place.line"))).select("id", "place", "words").dropDuplicates(["id"])
+    texts = stage(texts, "lines-texts")
+    first = texts.select(F.col("id").alias("a"), F.col("place").alias("a_place"), "words")
+    second = texts.select(F.col("id").alias("b"), F.col("place").alias("b_place"), F.col("words").alias("other"))
+    both = checks.join(first, F.col("x") == F.col("a")).join(second, F.col("y") == F.col("b"))
+    both = both.select("x", "open", "words", "other", (F.col("b_place") < F.col("a_place")).alias("later"))
+    done = stage(both.mapInArrow(_verified, "x long, ok boolean, open boolean"), "lines-verified")
+    unstage(asked), unstage(texts)
+    return done
+
+
+def _bitmap(tokens: DataFrame) -> np.ndarray:
+    """A bitmap of 2**23 hashes of the tokens: one megabyte, however many there are."""
+
+    def run(batches):
+        bits = np.zeros(1 << 23, bool)
+        for b in batches:
+            bits[_spread(b.column(0).to_numpy().view(np.uint32))] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([x.tobytes() for x in np.packbits(bits, bitorder="little").reshape(64, -1)], pa.binary())], names=["k", "bits"])
+
+    def both(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, bits in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                got = np.frombuffer(bits.as_buffer(), np.uint8)
+                sums[k] = sums[k] | got if k in sums else got.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["k", "bits"])
+
+    out = np.zeros((64, 1 << 14), np.uint8)
+    with tidy(tokens.sparkSession):
+        rows = tokens.mapInArrow(run, "k int, bits binary").repartition("k").mapInArrow(both, "k int, bits binary").collect()
+    for k, bits in rows:
+        out[k] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def _near(classes: DataFrame, keyed: DataFrame) -> list[DataFrame]:
+    """Staged tables (x, ok, open) of the rounds; ok says that class x is similar to a class of an earlier place.
+
+    A round looks, for each class that is still open, for a few classes of smaller id that pass
+    the filters, and verifies them. Filters rarely pass what is not similar, so nearly all
+    classes are settled by the first round; the others go on with more candidates each, until
+    every one of a class's candidates has been looked at.
+    """
+    tokens = classes.select(F.explode("prefix").alias("token")).where("token is not null")
+    with tidy(classes.sparkSession):
+        total = tokens.count()
+        # over total / HOT_TOKENS postings each, so fewer than HOT_TOKENS rows
+        often = tokens.groupBy("token").count().where(F.col("count") > max(HOT, total // HOT_TOKENS)).collect() if total > HOT else []
+    hot, cells = {}, 0
+    for token, n in sorted(often):
+        hot[token & 0xFFFFFFFF] = (cells, _parts(n))
+        cells += _parts(n) ** 2
+    buckets = max(1, -(-total // HELD))
+    rounds, most, probes, wanted = [], WITNESSES, classes.withColumn("probe", F.lit(True)), None
+    while True:
+        dealt = probes.select("id", "n", "f0", "f1", "prefix", "probe").mapInArrow(_deal(buckets, hot, wanted), "key long, postings binary")
+        pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(most), "x long, y long, dist int, more boolean")
+        if not rounds:
+            checks = pairs.groupBy("x").agg(F.min_by("y", "dist").alias("y"), (F.max("more") | (F.min("y") != F.max("y"))).alias("open"))
+        else:
+            checks = pairs.groupBy("x", "y").agg(F.max("more").alias("open"))
+        checks = stage(checks, "lines-candidates")
+        rounds.append(_check(checks, classes, keyed))
+        unstage(checks)
+        rest = rounds[-1].groupBy("x").agg(F.max("ok").alias("ok"), F.max("open").alias("open")).where("open and not ok").select(F.col("x").alias("rest"))
+        rest = stage(rest, "lines-open")
+        if rest.isEmpty():
+            return rounds
+        most *= MORE
+        probes = classes.join(rest, F.col("id") == F.col("rest"), "left").withColumn("probe", F.col("rest").isNotNull())
+        wanted = _bitmap(probes.where("probe").select(F.explode("prefix").alias("token")).where("token is not null"))
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, removed (line numbers from 0, sorted) and n_near (those that equal no earlier line), of the rows of docs with removed lines.
 
     row_key is xxhash64(doc_id, text). See `deduplicated` for what is removed.
     """
     keyed = _keyed(docs)
-    level = _levels(rarity(keyed))
-    lines = stage(keyed.mapInArrow(_listed(level), LINES), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "line")
-    classes = lines.groupBy("s1", "s2", "n").agg(F.min(F.struct(place.alias("place"), "row_key")).alias("f"), F.first("prefix").alias("prefix"), F.first("fold").alias("fold"), F.first("sig").alias("sig"))
-    classes = classes.select(F.monotonically_increasing_id().alias("id"), "s1", "s2", "n", "f.place", "f.row_key", "prefix", "fold", "sig")
-    classes = stage(classes, "line-classes")
-    postings = classes.select("id", "n", "fold", "sig", F.posexplode("prefix").alias("i", "token")).where("token is not null")
-    flagged = stage(postings.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_candidates, "id long").distinct(), "line-candidates")
-    asks = classes.select("id", "s1", "s2", "n", "place", "row_key").join(flagged, "id")
-    by_text = asks.groupBy("row_key").agg(F.collect_list(F.struct("id", "s1", "s2", "n")).alias("asks"))
-    texts = only_likely(keyed.select("row_key", "text"), asks.select("row_key"), "row_key").groupBy("row_key").agg(F.first("text").alias("text"))
-    sets = texts.join(by_text, "row_key").select("text", "asks").mapInArrow(_sets(level), "id long, n int, tokens array<long>")
-    sets = sets.join(asks.select(F.col("id").alias("a_id"), "place"), F.col("id") == F.col("a_id")).drop("a_id")
-    rare = F.slice("tokens", 1, F.expr(f"n - cast(ceil({NUM} * n / {DEN}) as int) + 1"))
-    again = sets.select("id", "n", "place", "tokens", F.explode(rare).alias("token"))
-    similar = again.repartition("token").sortWithinPartitions("token", "n", "place").mapInArrow(_verified, "id long").distinct()
-    near = classes.select("id", "s1", "s2", "n", "place").join(similar.select(F.col("id").alias("n_id")), F.col("id") == F.col("n_id"), "left")
-    fate = near.select(F.col("s1").alias("a"), F.col("s2").alias("b"), F.col("n").alias("c"), F.col("place").alias("first"), F.col("n_id").isNotNull().alias("near"))
-    each = lines.select("doc_id", "row_key", "line", "n", "s1", "s2", place.alias("place"))
+    lines = stage(keyed.mapInArrow(_listed(rarity(keyed)), LINES), "lines")
+    place = _place()
+    classes = lines.groupBy("s1", "s2", "n").agg(
+        F.min(F.struct(place.alias("place"), "row_key")).alias("f"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("f0", "f1", "prefix"))
+    )
+    # ids are in the order of places
+    classes = classes.select("s1", "s2", "n", "f.place", "f.row_key", "copies", "f0", "f1", "prefix").repartitionByRange("place").sortWithinPartitions("place")
+    classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
+    near = None
+    for done in _near(classes, keyed):
+        ok = done.where("ok").select(F.col("x").alias("n_id"))
+        near = ok if near is None else near.unionByName(ok)
+    fate = classes.select("id", "s1", "s2", "n", "place", "copies").join(near.distinct(), F.col("id") == F.col("n_id"), "left")
+    fate = fate.where("n_id is not null or copies > 1").select(F.col("s1").alias("a"), F.col("s2").alias("b"), F.col("n").alias("c"), F.col("place").alias("first"), F.col("n_id").isNotNull().alias("near"))
+    fate = stage(fate, "line-fates")
+    unstage(classes)
+    each = only_likely(lines.select("doc_id", "row_key", "line", "n", "s1", "s2", place.alias("place")), fate.select(F.col("a").alias("s1")), "s1")
     each = each.join(fate, (F.col("s1") == F.col("a")) & (F.col("s2") == F.col("b")) & (F.col("n") == F.col("c")))
     gone = each.where("near or place > first")
-    return gone.groupBy("doc_id", "row_key").agg(
+    gone = gone.groupBy("doc_id", "row_key").agg(
         F.sort_array(F.collect_set("line")).alias("removed"), F.count_distinct(F.when(F.col("place") <= F.col("first"), F.col("line"))).alias("n_near")
     )
+    gone = stage(gone, "line-removals")
+    unstage(lines), unstage(fate)
+    return gone
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -326,13 +508,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     0.8 or more. A line is removed if any line of an earlier place matches it, removed itself or
     not; places are ordered by doc_id (null last), then line number. Lines of equal place (of
     rows that repeat a doc_id) do not remove each other. Lines without words never match and
-    stay. A null text stays null; a text may become empty. Rows stay, and so do their other
-    columns, but `removed` and n_near are replaced.
+    stay. A null text stays null; a text may become empty. Texts and lines may be of any length:
+    a task holds an Arrow batch and CHUNK bytes, or one line, of it. No rows give no rows. Rows
+    stay, and so do their other columns, but `removed` and n_near are replaced.
 
     Token counts over all texts, by hash bucket, give the order of rarity. Equal sets are one
-    class (pre-aggregated). A class meets others by its rarest tokens (prefix filter; a token that all texts hold once meets none); pairs
-    pass by length, by position and by a parity sketch; only sets with such a pair are looked
-    up, and meet again in whole, where their similarity is verified.
+    class (pre-aggregated; equal are sets of equal size and two equal digests of 64 bits, of
+    independent hashes). A class meets others by its rarest tokens (prefix filter; a token that
+    all texts hold once meets none); pairs pass by length, by position and by a parity sketch.
+    Of those, a class is verified, in whole lines, against one and, as long as that fails,
+    against more of an earlier place.
     """
     docs = docs.drop(*[c for c in ("removed", "n_near") if c in docs.columns])
     gone = removals(docs).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "removed", "n_near")
