@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +117,39 @@ def only_likely(df: DataFrame, keys: DataFrame, key: str, bits: int = 23) -> Dat
     )
 
 
+#: Counts that one row of packed_counts() has.
+SLICE = 1 << 14
+
+
+def packed_counts(counts: np.ndarray):
+    """Record batches (part int, counts binary) of a task's counts, for add_counts().
+
+    Counts are stored as byte planes, the low one first: those of small counts are zeros, and Spark compresses what it shuffles.
+    """
+    whole = np.zeros(-(-len(counts) // SLICE) * SLICE, "<u8")
+    whole[: len(counts)] = counts
+    planes = [np.ascontiguousarray(p.view(np.uint8).reshape(-1, 8).T).tobytes() for p in whole.reshape(-1, SLICE)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(planes), dtype=np.int32)), pa.array(planes, pa.binary())], names=["part", "counts"])
+
+
+def add_counts(packed: DataFrame, n: int) -> np.ndarray:
+    """The n sums of packed_counts() of all tasks: added up slice by slice in the executors, so n numbers come to the driver."""
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, planes in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                got = np.ascontiguousarray(np.frombuffer(planes.as_buffer(), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+                sums[part] = sums[part] + got if part in sums else got
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
+
+    out = np.zeros(-(-n // SLICE) * SLICE, np.int64)
+    with tidy(packed.sparkSession):
+        for part, sums in packed.repartition("part").mapInArrow(add, "part int, counts binary").collect():
+            out[part * SLICE : (part + 1) * SLICE] = np.frombuffer(sums, "<i8")
+    return out[:n]
+
+
 def spare(taken) -> str:
     """A column name that is not among those taken."""
     name = "_text"

@@ -28,8 +28,10 @@ from pyspark.sql import DataFrame
 
 from strandlog.llm._common import spare
 
-#: Words that a worker remembers; beyond that it forgets all and starts again.
-REMEMBER = 1 << 20
+#: Bytes (about) of the words that a worker remembers, and arcs of its table; beyond them it forgets all and starts again.
+REMEMBER, ARCS = 24 << 20, 1 << 18
+#: Bytes of the longest word that is remembered.
+SHORT = 64
 #: Letters, numbers and cases up to here have not changed between Unicode's editions.
 SETTLED = regex.compile("[^\\u0000-\\u024f\\u2010-\\u2027]")
 
@@ -72,7 +74,7 @@ class Automaton:
         key = state << 20 | token
         to = self.table.get(key)
         if to is None:
-            if len(self.table) > 4 * REMEMBER:
+            if len(self.table) >= ARCS:
                 self.table.clear()
             to = self.table[key] = self.end[token] if self.end[token] >= 0 and self._has(state, token) else -1
         return to
@@ -121,6 +123,7 @@ class Tokenizer:
             self.longest = max(self.longest, len(key))
         self.prefixes = {k[:n] for d in (self.inner, self.final) for k in d for n in range(1, len(k) + 1)}
         self.words: dict[str, tuple[bytes, bytes, int]] = {}
+        self.room = REMEMBER
 
     def encode_word(self, word: bytes) -> list[int]:
         """Token ids of one pre-split word."""
@@ -175,10 +178,14 @@ class Tokenizer:
         """(ids as little-endian 32-bit, decoded bytes, number of ids) of a pre-split word, remembered."""
         got = self.words.get(w)
         if got is None:
-            if len(self.words) > REMEMBER:
-                self.words.clear()
             ids = self.encode_word(w.encode("utf-8", "surrogatepass"))
-            got = self.words[w] = (np.array(ids, "<u4").tobytes(), self.decode(ids).encode(), len(ids))
+            got = (np.array(ids, "<u4").tobytes(), self.decode(ids).encode(), len(ids))
+            if len(w) <= SHORT:
+                self.room -= 350 + 8 * len(w)
+                if self.room < 0:
+                    self.words.clear()
+                    self.room = REMEMBER
+                self.words[w] = got
         return got
 
     def parts(self, text: str):

@@ -7,33 +7,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm._common import only_likely, stage, tidy, unstage
+from strandlog.llm._common import add_counts, only_likely, packed_counts, stage, tidy, unstage
 
 #: Jaccard similarity of token sets, as a fraction.
 NUM, DEN = 4, 5
 #: Token counts are kept by this many hash buckets; any order of tokens gives the same result, a good one gives it sooner.
-BUCKETS, SLICE = 1 << 20, 1 << 14
+BUCKETS = 1 << 20
 #: Bytes of text that are split at once (a longer line is split by itself), and lines.
-CHUNK, MOST_LINES = 1 << 20, (1 << 16) - 1
+CHUNK, MOST_LINES = 1 << 18, (1 << 16) - 1
 #: Postings that are dealt at once, that a bucket holds on average, and from which a token is dealt to cells of its own.
-FLUSH, HELD, HOT = 1_000_000, 400_000, 50_000
+FLUSH, HELD, HOT = 300_000, 300_000, 50_000
 #: Tokens that can be hot: those with over one in so many of all postings.
 HOT_TOKENS = 4096
 #: Earlier sets that a set is verified against in the first round, and how many times more in each round after it.
-WITNESSES, MORE = 1, 16
+WITNESSES, MORE = 1, 1024
 
 LINES = "doc_id long, row_key long, line int, n int, s1 long, s2 long, f0 long, f1 long, prefix array<int>"
-POSTING = [("token", "<u4"), ("n", "<u4"), ("i", "<u4"), ("id", "<u8"), ("f0", "<u8"), ("f1", "<u8"), ("probe", "u1")]
+POSTING = [("token", "<u4"), ("n", "<u4"), ("i", "<u4"), ("id", "<u8"), ("doc", "<u8"), ("line", "<u4"), ("f0", "<u8"), ("f1", "<u8"), ("probe", "u1")]
 WIDTH = sum(np.dtype(t).itemsize for _, t in POSTING)
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-#: Odd bases of the two polynomial hashes of a word.
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Odd factors of the hashes.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 _U = np.uint64
+#: The first k bytes of a little-endian load of 8.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def least_overlap(n, m):
@@ -52,23 +49,23 @@ def _mix(h: np.ndarray, by: int) -> np.ndarray:
         return h ^ h >> _U(29)
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of base and of its inverse, modulo 2**64."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        with np.errstate(over="ignore"):
-            _POWERS[base] = tuple(
-                np.cumprod(np.r_[_U(1), np.full(max(n, CHUNK), _U(b), np.uint64)]) for b in (base, pow(base, -1, 1 << 64))
-            )
-    return _POWERS[base]
+def _hashes(y: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the words y[start:end]; y has 8 bytes more than its words.
 
-
-def _hashes(y: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """64-bit hashes of the words y[start:end]: differences of one running polynomial, moved to power 0, and mixed."""
-    up, down = _powers(base, len(y) + 1)
+    Words are read 8 bytes at a time: the first 8, and what follows of the longer ones.
+    """
+    at = np.ndarray(len(y) - 7, "<u8", y, 0, (1,))  # unaligned: the 8 bytes from each place on
+    n = ends - starts
     with np.errstate(over="ignore"):
-        total = np.zeros(len(y) + 1, np.uint64)
-        np.cumsum((y.astype(np.uint64) + _U(1)) * up[: len(y)], out=total[1:])
-        return _mix((total[ends] - total[starts]) * down[starts], 0xFF51AFD7ED558CCD)
+        a = at[starts] & _MASK[np.minimum(n, 8)]
+        h, g = (_mix((a ^ n.astype(np.uint64) * _U(x)) * _U(y_) + _U(z), x) for x, y_, z in (_BASES, _BASES[::-1]))
+        more, k = np.flatnonzero(n > 8), 8
+        while len(more):
+            a = at[starts[more] + k] & _MASK[np.minimum(n[more] - k, 8)]
+            h[more], g[more] = _mix((h[more] ^ a) * _U(_BASES[0]) + _U(k), _BASES[1]), _mix((g[more] ^ a) * _U(_BASES[2]) + _U(k), _BASES[0])
+            k += 8
+            more = more[n[more] > k]
+    return h, g
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,17 +84,19 @@ class Words:
 
     def __init__(self, raw: np.ndarray, first: np.ndarray):
         """first: the places in raw at which lines start."""
-        y = _LOWER[raw]
-        word = ~_SPACE[y]
-        fresh = np.zeros(len(y) + 1, bool)
-        fresh[first[first < len(y)]] = True
-        open_ = word.copy()
-        open_[1:] &= ~word[:-1] | fresh[1:-1]
-        shut = word.copy()
-        shut[:-1] &= ~word[1:] | fresh[1:-1]
-        starts, ends = np.flatnonzero(open_), np.flatnonzero(shut) + 1
-        self.owner = np.searchsorted(first, starts, "right") - 1  # of equal starts (empty lines) the last is the one with bytes
-        self.h, self.g = (_hashes(y, starts, ends, b) for b in _BASES)
+        y = np.zeros(len(raw) + 8, np.uint8)
+        np.add(raw, (raw - np.uint8(65) < 26).view(np.uint8) << 5, out=y[: len(raw)])  # A-Z to a-z
+        word = np.zeros(len(raw) + 2, bool)
+        word[1:-1] = (raw != 32) & (raw - np.uint8(9) > 4)
+        fresh = np.zeros(len(raw) + 1, bool)
+        fresh[first] = True
+        edge = word[1:] & (~word[:-1] | fresh)
+        starts = np.flatnonzero(edge)
+        edge = word[:-1] & (~word[1:] | fresh)
+        ends = np.flatnonzero(edge)
+        # of lines of equal starts (empty ones) the last has the words
+        self.owner = np.repeat(np.arange(len(first)), np.diff(np.r_[np.searchsorted(starts, first), len(starts)]))
+        self.h, self.g = _hashes(y, starts, ends)
 
 
 def runs(column: pa.Array):
@@ -129,35 +128,12 @@ def rarity(docs: DataFrame) -> np.ndarray:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
             for raw, first, _, _ in runs(b.column(0)):
-                total += np.bincount((Words(raw, first).h % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                np.add.at(total, (Words(raw, first).h % _U(BUCKETS)).astype(np.int64), 1)
         if total.any():
-            parts = total.reshape(-1, SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([_pack(p) for p in parts], pa.binary())], names=["part", "counts"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for part, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = _unpack(counts.as_buffer())
-                sums[part] = sums[part] + got if part in sums else got
-        level = [np.minimum(255, np.floor(8 * np.log2(1 + s))).astype(np.uint8).tobytes() for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], names=["part", "level"])
-
-    out = np.zeros(BUCKETS, np.uint8)
-    with tidy(docs.sparkSession):
-        rows = docs.select("text").mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(add, "part int, level binary").collect()
-    for part, level in rows:
-        out[part * SLICE : (part + 1) * SLICE] = np.frombuffer(level, np.uint8)
-    return out
+            yield from packed_counts(total)
 
-
-def _pack(counts: np.ndarray) -> bytes:
-    """Byte planes, the low one first: those of small counts are zero, and Spark compresses what it shuffles."""
-    return np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _unpack(data) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+    total = add_counts(docs.select("text").mapInArrow(count, "part int, counts binary"), BUCKETS)
+    return np.minimum(255, np.floor(8 * np.log2(1 + total))).astype(np.uint8)
 
 
 #: The level of a token that is there once in all texts: no other set holds it.
@@ -270,7 +246,8 @@ def _deal(buckets: int, hot: dict[int, tuple[int, int]], wanted: np.ndarray | No
             if not len(row):
                 continue
             take = lambda c: b.column(c).to_numpy(zero_copy_only=False)[row]  # noqa: B023, E731
-            part.append({"token": token[has], "n": take("n").astype(np.uint32), "i": i.astype(np.uint32), "id": take("id").view(np.uint64), "f0": take("f0").view(np.uint64), "f1": take("f1").view(np.uint64), "probe": take("probe").astype(np.uint8)})
+            last = take("last").astype(bool)
+            part.append({"token": token[has], "n": take("n").astype(np.uint32), "i": i.astype(np.uint32), "id": take("id").view(np.uint64), "doc": np.where(last, ~_U(0), take("doc").view(np.uint64) ^ _U(1 << 63)), "line": take("line").astype(np.uint32) | last.astype(np.uint32) << np.uint32(31), "f0": take("f0").view(np.uint64), "f1": take("f1").view(np.uint64), "probe": take("probe").astype(np.uint8)})
             size += len(row)
             if size >= FLUSH:
                 yield blobs(part)
@@ -301,7 +278,7 @@ def _read(blob) -> dict[str, np.ndarray]:
 
 
 def compare(t: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
-    """x, y, dist and more: for each posting of a probe, up to `most` sets y of the same token and a smaller id that may be similar to x.
+    """x, y, dist and more: for each posting of a probe, up to `most` sets y of the same token and an earlier place that may be similar to x.
 
     Filters: sizes, the token's positions, parity sketches. more: the search was ended by `most`.
     """
@@ -309,7 +286,7 @@ def compare(t: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
     order = np.argsort(key, kind="stable")
     key = key[order]
     n, i = t["n"][order].astype(np.int64), t["i"][order].astype(np.int64)
-    ids, f0, f1 = t["id"][order], t["f0"][order], t["f1"][order]
+    ids, doc, line, f0, f1 = (t[c][order] for c in ("id", "doc", "line", "f0", "f1"))
     token = key & ~_U(0xFFFFFFFF)
     low = np.searchsorted(key, token | (-(-NUM * n // DEN)).astype(np.uint64))
     high = np.searchsorted(key, token | (DEN * n // NUM).astype(np.uint64), "right")
@@ -323,7 +300,7 @@ def compare(t: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
             b = live + step
             ok = b >= low[live] if step < 0 else b < high[live]
             a, b = live[ok], b[ok]
-            ok = ids[b] < ids[a]
+            ok = (doc[b] < doc[a]) | (doc[b] == doc[a]) & (line[b] < line[a])
             a, b = a[ok], b[ok]
             need = least_overlap(n[a], n[b])
             d = np.bitwise_count(f0[a] ^ f0[b]).astype(np.int64) + np.bitwise_count(f1[a] ^ f1[b])
@@ -429,19 +406,45 @@ def _bitmap(tokens: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _often(classes: DataFrame) -> tuple[int, list]:
+    """(number of postings, (token, postings) of those with over one in HOT_TOKENS of them and over HOT)."""
+
+    def count(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            np.add.at(total, _bucket(b.column(0).flatten().drop_null().to_numpy()), 1)
+        yield from packed_counts(total)
+
+    counts = add_counts(classes.select("prefix").mapInArrow(count, "part int, counts binary"), BUCKETS)
+    total = int(counts.sum())
+    least = max(HOT, total // HOT_TOKENS)
+    some = counts > least  # fewer than HOT_TOKENS buckets; most corpora have none
+    if not some.any():
+        return total, []
+
+    def exact(batches):
+        for b in batches:
+            tokens = b.column(0).flatten().drop_null().to_numpy()
+            tokens, n = np.unique(tokens[some[_bucket(tokens)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int32()), pa.array(n, pa.int64())], names=["token", "n"])
+
+    with tidy(classes.sparkSession):
+        return total, classes.select("prefix").mapInArrow(exact, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect()
+
+
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens.view(np.uint32) % np.uint32(BUCKETS)).astype(np.int64)
+
+
 def _near(classes: DataFrame, keyed: DataFrame) -> list[DataFrame]:
     """Staged tables (x, ok, open) of the rounds; ok says that class x is similar to a class of an earlier place.
 
-    A round looks, for each class that is still open, for a few classes of smaller id that pass
+    A round looks, for each class that is still open, for a few classes of an earlier place that pass
     the filters, and verifies them. Filters rarely pass what is not similar, so nearly all
     classes are settled by the first round; the others go on with more candidates each, until
     every one of a class's candidates has been looked at.
     """
-    tokens = classes.select(F.explode("prefix").alias("token")).where("token is not null")
-    with tidy(classes.sparkSession):
-        total = tokens.count()
-        # over total / HOT_TOKENS postings each, so fewer than HOT_TOKENS rows
-        often = tokens.groupBy("token").count().where(F.col("count") > max(HOT, total // HOT_TOKENS)).collect() if total > HOT else []
+    total, often = _often(classes)
     hot, cells = {}, 0
     for token, n in sorted(often):
         hot[token & 0xFFFFFFFF] = (cells, _parts(n))
@@ -449,7 +452,7 @@ def _near(classes: DataFrame, keyed: DataFrame) -> list[DataFrame]:
     buckets = max(1, -(-total // HELD))
     rounds, most, probes, wanted = [], WITNESSES, classes.withColumn("probe", F.lit(True)), None
     while True:
-        dealt = probes.select("id", "n", "f0", "f1", "prefix", "probe").mapInArrow(_deal(buckets, hot, wanted), "key long, postings binary")
+        dealt = probes.select("id", "n", "f0", "f1", "prefix", "probe", "place.last", "place.doc", "place.line").mapInArrow(_deal(buckets, hot, wanted), "key long, postings binary")
         pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(most), "x long, y long, dist int, more boolean")
         if not rounds:
             checks = pairs.groupBy("x").agg(F.min_by("y", "dist").alias("y"), (F.max("more") | (F.min("y") != F.max("y"))).alias("open"))
@@ -478,8 +481,7 @@ def removals(docs: DataFrame) -> DataFrame:
     classes = lines.groupBy("s1", "s2", "n").agg(
         F.min(F.struct(place.alias("place"), "row_key")).alias("f"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("f0", "f1", "prefix"))
     )
-    # ids are in the order of places
-    classes = classes.select("s1", "s2", "n", "f.place", "f.row_key", "copies", "f0", "f1", "prefix").repartitionByRange("place").sortWithinPartitions("place")
+    classes = classes.select("s1", "s2", "n", "f.place", "f.row_key", "copies", "f0", "f1", "prefix")
     classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
     near = None
     for done in _near(classes, keyed):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm._common import WORD
+from strandlog.llm._common import WORD, stage
 
 #: Weights of the sources in code-point order, repeating; null is the last source.
 WEIGHTS = (3, 1, 2)
@@ -60,27 +60,37 @@ def assign(docs: DataFrame, total: float = 1.5, cap: float = 2.0, weights=WEIGHT
     Sums over a source's documents are taken in two steps, within one of 256 buckets of the
     digest and over the buckets, so a source with a third of all rows is dealt to 256 window
     groups. A null source is a source; a null or empty text has size 0 and takes 0; a null
-    doc_id has a digest of its own. No documents give no rows. Columns of docs are kept; those
-    named like a new one are replaced.
+    doc_id has a digest of its own. A text may be of any length: its words are counted in place.
+    No documents give no rows. Columns of docs are kept; those named like a new one are replaced.
     """
-    new = ["size", "source_size", "target", "taken", "trend", "_key", "_digest", "_bucket", "_before", "_repeats", "_extra", "_taken_total"]
+    return _placed(_sized(docs), total, cap, weights, trend)
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """docs with size, the key of their source, and their place in its order: bucket, digest and tie."""
+    new = ["size", "source_size", "target", "taken", "trend", "_key", "_digest", "_tie", "_bucket", "_before", "_repeats", "_extra", "_taken_total"]
     docs = docs.drop(*[c for c in new if c in docs.columns])
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    docs = docs.withColumns({"size": size_of(), "_key": _key(), "_digest": digest})
-    docs = docs.withColumn("_bucket", F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int"))
+    docs = docs.withColumns({"size": size_of(), "_key": _key(), "_digest": digest, "_tie": F.md5(F.coalesce("text", F.lit("")))})
+    return docs.withColumn("_bucket", F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int"))
+
+
+def _placed(docs: DataFrame, total: float, cap: float, weights, trend) -> DataFrame:
+    """assign() of sized documents. The sums of the buckets, one row a source and bucket, are staged: words are not counted again for them."""
     ahead = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = docs.groupBy(F.col("_key").alias("k"), F.col("_bucket").alias("b")).agg(F.sum("size").alias("n"), F.first("source", True).alias("source"))
+    buckets = stage(buckets, "mixing-buckets")
     buckets = buckets.withColumn("_ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     t = targets(buckets.select("source", F.col("n").alias("size")), total, cap, weights, trend).withColumn("t", _key()).drop("source")
     per = buckets.drop("source", "n").join(t, F.col("k") == F.col("t")).drop("t")
     out = docs.join(per, (F.col("_key") == F.col("k")) & (F.col("_bucket") == F.col("b"))).drop("k", "b")
-    order = Window.partitionBy("_key", "_bucket").orderBy("_digest", F.md5(F.coalesce("text", F.lit(""))))
+    order = Window.partitionBy("_key", "_bucket").orderBy("_digest", "_tie")
     within = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
     out = out.withColumn("_before", F.col("_ahead") + F.coalesce(within, F.lit(0)))
     out = out.withColumn("_repeats", F.when(F.col("source_size") > 0, F.expr("_taken_total div source_size")).otherwise(F.lit(0)).cast("long"))
     left = F.col("_taken_total") - F.col("_repeats") * F.col("source_size") - F.col("_before")
     out = out.withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long"))
-    return out.withColumn("taken", F.col("_repeats") * F.col("size") + F.col("_extra")).drop("_key", "_digest", "_bucket", "_ahead")
+    return out.withColumn("taken", F.col("_repeats") * F.col("size") + F.col("_extra")).drop("_key", "_digest", "_tie", "_bucket", "_ahead")
 
 
 def position(before: Column, target: Column, trend: Column) -> Column:
@@ -113,8 +123,12 @@ def emit(assigned: DataFrame, whole: bool = False) -> DataFrame:
     return out.orderBy("position", "doc_id")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The query's rows: doc_id, size, source_size, target, taken and first_position, in training order."""
-    a = assign(docs.select("doc_id", "text", "source"), **how)
+def mixed(docs: DataFrame, total: float = 1.5, cap: float = 2.0, weights=WEIGHTS, trend=TREND) -> DataFrame:
+    """The query's rows: doc_id, size, source_size, target, taken and first_position, in training order.
+
+    Words are counted once, and no text is shuffled: sizes and digests are staged without it.
+    """
+    slim = stage(_sized(docs.select("doc_id", "text", "source")).drop("text"), "mixing-sizes")
+    a = _placed(slim, total, cap, weights, trend)
     at = position(F.col("_before"), F.col("_taken_total").cast("double"), F.col("trend"))
     return a.select("doc_id", "size", "source_size", "target", "taken", F.round(at, 9).alias("first_position")).orderBy("first_position", "doc_id")

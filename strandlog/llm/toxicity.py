@@ -11,24 +11,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm._common import spare
-
-#: Labelled rows that become examples, of each label at most. The index and what the driver holds are bounded by these
-#: two numbers and TERMS; counts, document frequencies and the scoring cover all rows.
-TOXIC_EXAMPLES, CLEAN_EXAMPLES = 3000, 6000
-#: Terms of the vocabulary: the most telling ones of the examples.
-TERMS = 512
-#: Examples that must have a term before it can be chosen.
-LEAST_EXAMPLES = 8
+from strandlog.llm._common import add_counts, packed_counts, spare, stage, tidy, unstage
+
+#: Labelled rows that become examples, of each label at most: they bound the index and what the driver holds.
+#: Counts of labels, document frequencies and the scoring cover all rows.
+TOXIC_EXAMPLES, CLEAN_EXAMPLES = 600, 1200
 NEIGHBOURS = 15
 #: Similarity that counts as evidence of nothing in a vote.
 DOUBT = 0.5
 BLOCK = 64
 FOLDS = 5
-STEMS = (4, 5, 6, 7, 8)
-#: Levels of a feature's number in a text, and of its number per thousand words.
-COUNTS, RATES = (1, 2, 3, 5), (2, 5, 10)
-REMEMBER = 1 << 19
+STEMS = (4, 6)
+#: Terms that over one in so many examples have are kept as rows of a matrix.
+DENSE = 16
+#: Texts whose products with that matrix are made at once.
+TOGETHER = 64
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -38,143 +35,209 @@ def features(word: str) -> tuple[str, ...]:
     return (word, *(word[:n] + "*" for n in STEMS if len(word) > n))
 
 
-def levels(counts: dict[str, int], n_words: int):
-    """Terms of a text: each feature at every level of number and of rate that it reaches."""
-    per = 1000 / max(n_words, 1)
-    for f, n in counts.items():
-        for c in COUNTS:
-            if n < c:
-                break
-            yield f"{f}#{c}"
-        if n > 1:
-            for r in RATES:
-                if n * per < r:
-                    break
-                yield f"{f}@{r}"
-
-
 def words_of(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
-@dataclass
+def counted(text: str | None) -> Counter:
+    """Number of occurrences of each term of a text."""
+    out: Counter[str] = Counter()
+    for w, n in Counter(words_of(text)).items():
+        for f in features(w):
+            out[f] += n
+    return out
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the integers of all ranges, one range after the other; the number of the range of each)."""
+    n = ends - starts
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(owner)) + np.repeat(starts - (np.cumsum(n) - n), n), owner
+
+
 class Index:
-    """Postings by term (example numbers and weights, by number), and each term's largest weight in each block of examples."""
+    """Inverted lists by term (examples and their weights), cut into blocks of examples, with each cut's largest weight.
+
+    Terms of many examples are rows of a matrix instead, whose cuts are slices.
+    """
 
-    n: int
-    postings: dict[int, tuple[np.ndarray, np.ndarray]]
-    tops: dict[int, np.ndarray]
+    def __init__(self, examples: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int):
+        """One entry of each array for each term of each example."""
+        self.n, self.blocks = n, max(1, -(-n // BLOCK))
+        often = np.bincount(terms, minlength=n_terms) * DENSE > max(n, DENSE)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        width = self.blocks * BLOCK
+        self.matrix = np.zeros((int(often.sum()), width), np.float32)
+        dense = often[terms]
+        self.matrix[self.row[terms[dense]], examples[dense]] = weights[dense]
+        self.matrix_tops = self.matrix.reshape(len(self.matrix), self.blocks, BLOCK).max(2) if len(self.matrix) else np.zeros((0, self.blocks), np.float32)
+        e, t, w = examples[~dense], terms[~dense], weights[~dense].astype(np.float32)
+        order = np.lexsort((e, t))
+        e, t, w = e[order], t[order], w[order]
+        self.example, self.weight = e.astype(np.int32), w
+        key = t.astype(np.int64) * self.blocks + e // BLOCK
+        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        self.cut = np.r_[cut, len(key)].astype(np.int32)
+        self.cut_block = (key[cut] % self.blocks).astype(np.int32)
+        self.cut_top = np.maximum.reduceat(w, cut) if len(cut) else w
+        self.first = np.searchsorted(key[cut] // self.blocks, np.arange(n_terms + 1)).astype(np.int32)
 
     @classmethod
     def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
-        lists: dict[int, tuple[list, list]] = {}
-        for i, (terms, weights) in enumerate(vectors):
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                ids, ws = lists.setdefault(t, ([], []))
-                ids.append(i)
-                ws.append(w)
-        postings = {t: (np.array(i), np.array(w)) for t, (i, w) in lists.items()}
-        tops = {}
-        for t, (i, w) in postings.items():
-            tops[t] = np.zeros(-(-len(vectors) // BLOCK))
-            np.maximum.at(tops[t], i // BLOCK, w)
-        return cls(len(vectors), postings, tops)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest dot product over 0 (ties: the lower number) but one, and these products: exact.
-
-        A block's bound is the sum of its terms' largest weights times the query's. Blocks are
-        evaluated from the largest bound on, and no more once the bound is below the k-th best.
+        """Of the examples' vectors (terms, weights)."""
+        owner = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        terms = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
+        weights = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+        return cls(owner, terms, weights, len(vectors), int(terms.max(initial=-1)) + 1)
+
+    def dense(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """What the matrix rows add to the products of queries (terms, weights) with each example, and to the bounds of each block."""
+        q = np.zeros((len(queries), len(self.matrix)), np.float32)
+        for k, (terms, weights) in enumerate(queries):
+            row = self.row[terms]
+            q[k, row[row >= 0]] = weights[row >= 0]
+        return q @ self.matrix, q @ self.matrix_tops
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1, dense: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest dot product over 0 (ties: the lower number) but one, and these products: exact, in single precision.
+
+        A block's bound is the sum of its terms' largest weights times the query's. The blocks
+        of the largest bounds are evaluated first, then those whose bound reaches the k-th best.
+        dense: the query's rows of dense(), if they are at hand.
         """
-        got = [(self.postings[t], self.tops[t], w) for t, w in zip(terms.tolist(), weights.tolist(), strict=True) if t in self.postings]
-        if not got:
-            return np.empty(0, np.int64), np.empty(0)
-        bound = sum(w * top for _, top, w in got)
+        known, bound = dense or (x[0] for x in self.dense([(terms, weights)]))
+        sparse = self.row[terms] < 0
+        terms, weights = terms[sparse], weights[sparse].astype(np.float32)
+        cuts, owner = _ranges(self.first[terms], self.first[terms + 1])
+        blocks, pull = self.cut_block[cuts], weights[owner]
+        bound = bound + np.bincount(blocks, self.cut_top[cuts] * pull, self.blocks)
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        score = np.zeros(self.n)
-        ids = np.empty(0, np.int64)
-        step = 4
-        for at in range(0, len(order), step):
-            best = np.partition(score[ids], len(ids) - k)[len(ids) - k] if len(ids) >= k else 0.0
-            if bound[order[at]] < best - 1e-12:
-                break
-            fresh = []
-            for b in order[at : at + step].tolist():
-                lo, hi = b * BLOCK, (b + 1) * BLOCK
-                for (i, w), _, q in got:
-                    s, e = np.searchsorted(i, (lo, hi))
-                    score[i[s:e]] += q * w[s:e]
-                fresh.append(np.flatnonzero(score[lo:hi]) + lo)
-            ids = np.concatenate([ids, *fresh])
-            ids = ids[ids != but]
-        pick = np.lexsort((ids, -score[ids]))[:k]
-        return ids[pick], score[ids[pick]]
+        order = order[: int((bound > 0).sum())]
+        ids, sims = np.empty(0, np.int64), np.empty(0)
+        for at, to in ((0, 4), (4, len(order))):
+            chosen = order[at:to]
+            if len(ids) >= k:
+                chosen = chosen[bound[chosen] >= sims.min() - 1e-5]  # more than the products' rounding
+            if not len(chosen):
+                continue
+            inside = np.zeros(self.blocks, bool)
+            inside[chosen] = True
+            mine = inside[blocks]
+            c = cuts[mine]
+            i, which = _ranges(self.cut[c], self.cut[c + 1])
+            score = known + np.bincount(self.example[i], self.weight[i] * pull[mine][which], self.blocks * BLOCK)
+            cols = (np.sort(chosen)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            score = score[cols]
+            got = score > 0
+            if but >= 0:
+                got &= cols != but
+            ids, sims = np.concatenate([ids, cols[got]]), np.concatenate([sims, score[got]])
+            if len(ids) > k:
+                least = -np.partition(-sims, k - 1)[k - 1]
+                ids, sims = ids[sims >= least], sims[sims >= least]
+                keep = np.lexsort((ids, -sims))[:k]
+                ids, sims = ids[keep], sims[keep]
+        order = np.lexsort((ids, -sims))
+        return ids[order], sims[order]
 
 
 @dataclass
 class Model:
-    vocabulary: dict[str, int]
-    idf: np.ndarray
+    """terms: all of the examples', in the order of their numbers; gain: what a term's TF-IDF weight is multiplied by."""
+
+    terms: list[str]
+    gain: np.ndarray
     labels: np.ndarray
     ids: list[int | None]
-    index: Index
+    index: Index | None = None
+    idf: np.ndarray | None = None
     steps: np.ndarray = field(default_factory=lambda: np.array([0.0]))
     levels: np.ndarray = field(default_factory=lambda: np.array([0.0]))
 
     def __post_init__(self):
-        self.reset()
-
-    def reset(self):
-        self.known = {t.rsplit("#", 1)[0] if "#" in t else t.rsplit("@", 1)[0] for t in self.vocabulary}
-        self.words: dict[str, tuple[str, ...]] = {}
-        self.seen: dict[bytes, tuple[float, str]] = {}
+        self.number = {t: i for i, t in enumerate(self.terms) if t[-1] != "*"}
+        self.stems = [{t[:-1]: i for i, t in enumerate(self.terms) if t[-1] == "*" and len(t) == n + 1} for n in STEMS]
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "words", "seen")}
+        state = {k: v for k, v in self.__dict__.items() if k not in ("terms", "number", "stems")}
+        return state | {"joined": "\n".join(self.terms)}
 
     def __setstate__(self, state):
+        joined = state.pop("joined")
         self.__dict__.update(state)
-        self.reset()
-
-    def terms(self, text: str | None) -> np.ndarray:
-        """Numbers of the vocabulary's terms in a text."""
-        words = words_of(text)
-        counts: Counter[str] = Counter()
-        known, memory = self.known, self.words
-        for w in words:
-            f = memory.get(w)
-            if f is None:
-                if len(memory) > REMEMBER:
-                    memory.clear()
-                f = memory[w] = tuple(x for x in features(w) if x in known)
-            if f:
-                counts.update(f)
-        v = self.vocabulary
-        return np.array(sorted({v[t] for t in levels(counts, len(words)) if t in v}), np.int64)
-
-    def vector(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = self.idf[terms]
+        self.terms = joined.split("\n")
+        self.__post_init__()
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of a text's terms that any example has, ascending, and how often it has each."""
+        counts = Counter(words_of(text))
+        rows = [[self.number.get(w, -1) for w in counts]]
+        rows += [[stems.get(w[:n], -1) if len(w) > n else -1 for w in counts] for n, stems in zip(STEMS, self.stems, strict=True)]
+        terms = np.array(rows).ravel()
+        known = terms >= 0
+        if not known.any():
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        n = np.tile(np.fromiter(counts.values(), np.int64, len(counts)), len(rows))[known]
+        terms = terms[known]
+        order = np.argsort(terms, kind="stable")
+        terms, n = terms[order], n[order]
+        cut = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]])
+        return terms[cut], np.add.reduceat(n, cut)
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Unit weights: (1 + ln count) times inverse document frequency times gain."""
+        w = (1 + np.log(counts)) * self.idf[terms] * self.gain[terms]
         norm = np.sqrt((w * w).sum())
-        return terms, w / norm if norm > 0 else w
-
-    def vote(self, terms: np.ndarray, but: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Toxic neighbours' similarity over that of all and of doubt."""
-        ids, sims = self.index.nearest(*self.vector(terms), NEIGHBOURS, but)
-        return float((sims * self.labels[ids]).sum() / (sims.sum() + DOUBT)), ids, sims
-
-    def score(self, text: str | None) -> tuple[float, str]:
-        """(score, evidence): the calibrated vote, and the three nearest examples as doc_id:label:similarity."""
-        terms = self.terms(text)
-        key = terms.tobytes()
-        if key not in self.seen:
-            if len(self.seen) > REMEMBER // 8:
-                self.seen.clear()
-            raw, ids, sims = self.vote(terms)
-            share = self.levels[max(0, np.searchsorted(self.steps, raw, "right") - 1)]
+        return w / norm if norm > 0 else w
+
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None):
+        """For each query (terms, weights): toxic neighbours' similarity over that of all and of doubt, the neighbours and their similarities."""
+        for at in range(0, len(queries), TOGETHER):
+            some = queries[at : at + TOGETHER]
+            for k, (q, known, bound) in enumerate(zip(some, *self.index.dense(some), strict=True), at):
+                ids, sims = self.index.nearest(*q, NEIGHBOURS, -1 if but is None else but[k], (known, bound))
+                yield float((sims * self.labels[ids]).sum() / (sims.sum() + DOUBT)), ids, sims
+
+    def learn(self, n_docs: int, frequency: np.ndarray, owner: np.ndarray, terms: np.ndarray, counts: np.ndarray, odds: float):
+        """Weights, the index and the calibration, of the examples' terms (owner: the example of each) and of document frequencies."""
+        self.idf = np.log((1 + n_docs) / (1 + frequency)) + 0.1
+        n = len(self.labels)
+        starts = np.searchsorted(owner, np.arange(n + 1))
+        own = [(terms[a:b], self.vector(terms[a:b], counts[a:b])) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        weights = np.concatenate([w for _, w in own]) if own else np.empty(0)
+        # examples of like heaviest terms share blocks, which makes the bounds tight
+        lead = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in own])
+        order = np.lexsort((lead, self.labels))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.labels, self.ids = self.labels[order], [self.ids[i] for i in order.tolist()]
+        self.index = Index(place[owner], terms, weights, n, len(self.terms))
+        raw = np.array([v for v, _, _ in self.votes([own[i] for i in order.tolist()], list(range(n)))])
+        # each label weighs as it does among all labelled rows, whatever the sample's shares
+        toxic = self.labels == 1
+        steps, levels = isotonic(raw, self.labels, np.where(toxic, odds * (~toxic).sum() / max(1, toxic.sum()), 1.0))
+        # level from the first to the last vote of each pool, and straight lines between them
+        order = np.sort(raw)
+        last = order[np.searchsorted(order, np.r_[steps[1:], np.inf]) - 1]
+        self.steps, self.levels = np.c_[steps, last].ravel(), np.repeat(levels, 2)
+
+    def scores(self, texts: list[str | None]):
+        """(score, evidence) of each text: the calibrated vote, and the three nearest examples as doc_id:label:similarity."""
+        read = [self.read(t) for t in texts]
+        for raw, ids, sims in self.votes([(terms, self.vector(terms, counts)) for terms, counts in read]):
+            share = np.interp(raw, self.steps, self.levels)
             evidence = ",".join(f"{self.ids[i]}:{int(self.labels[i])}:{s:.4f}" for i, s in zip(ids[:3].tolist(), sims[:3].tolist(), strict=True))
-            self.seen[key] = (min(1.0, 0.98 * float(share) + 0.02 * raw), evidence)
-        return self.seen[key]
+            yield min(1.0, 0.98 * float(share) + 0.02 * raw), evidence
+
+
+def gains(owner: np.ndarray, terms: np.ndarray, labels: np.ndarray, n_terms: int) -> np.ndarray:
+    """How far each term tells the labels apart: the chi-square of having it, over the number of examples. No term has none."""
+    toxic = labels == 1
+    a = np.bincount(terms[toxic[owner]], minlength=n_terms).astype(float)
+    b = np.bincount(terms[~toxic[owner]], minlength=n_terms).astype(float)
+    p, q, seen = toxic.sum(), (~toxic).sum(), a + b
+    off = a * q - b * p
+    return off * off / (seen * (p + q - seen + 1) * p * q) + 1e-6
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,72 +271,61 @@ def examples(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
         for y, cond, most in ((1, "toxic > 0", TOXIC_EXAMPLES), (0, "toxic <= 0", CLEAN_EXAMPLES))
     ]
     chosen = picked[0].unionByName(picked[1])  # at most TOXIC_EXAMPLES + CLEAN_EXAMPLES rows
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     return found, n.get(True, 0) / max(1, n.get(False, 0))
 
 
-def _telling(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """The terms of largest chi-square between the labels, among those that at least LEAST_EXAMPLES examples have."""
+def _terms(batches):
+    """doc_id, toxic and the terms of each example with their counts."""
+    for b in batches:
+        got = [counted(t) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id").cast(pa.string()), b.column("toxic"), pa.array([list(c) for c in got], pa.list_(pa.string())), pa.array([list(c.values()) for c in got], pa.list_(pa.int64()))],
+            names=["doc_id", "toxic", "terms", "counts"],
+        )
 
-    def run(batches):
-        for b in batches:
-            count: Counter[tuple[str, int]] = Counter()
-            for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                words = words_of(text)
-                got = Counter(f for w in words for f in features(w))
-                count.update((t, y) for t in levels(got, len(words)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([t for t, _ in count], pa.string()), pa.array([y for _, y in count], pa.int32()), pa.array(list(count.values()), pa.int64())], names=["term", "toxic", "n"]
-            )
 
-    c = sample.select("text", "toxic").mapInArrow(run, "term string, toxic int, n long").groupBy("term")
-    c = c.agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    both = n_toxic + n_clean
-    off = F.col("a") * F.lit(float(n_clean)) - F.col("b") * F.lit(float(n_toxic))
-    seen = F.col("a") + F.col("b")
-    c = c.where(seen >= LEAST_EXAMPLES).withColumn("chi", off * off / (seen * (both - seen + 1)))
-    return [r[0] for r in c.where(off > 0).orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()]
+def _flat(column) -> tuple[pa.Array, np.ndarray]:
+    """(values of a list column, the row of each)."""
+    column = column.combine_chunks()
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten(), np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy())
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The index, from a bounded sample of labelled rows; document frequencies are counted over all of docs. None without examples of both labels."""
+    """The index, from a bounded sample of labelled rows; document frequencies are counted over all of docs. None without examples of both labels.
+
+    The vocabulary is every term of the examples. What the driver holds is the examples' terms
+    and one number a term; the counting of documents is merged in the executors, by slices.
+    """
     sample, odds = examples(docs, labels)
-    sample = sample.persist()
-    n = dict(sample.groupBy("toxic").count().collect())
-    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
-    if not n_toxic or not n_clean:
-        sample.unpersist()
+    kept = stage(sample.mapInArrow(_terms, "doc_id string, toxic int, terms array<string>, counts array<bigint>"), "toxicity-examples")
+    rows = kept.toArrow().sort_by("doc_id")
+    unstage(kept)
+    y = rows.column("toxic").to_numpy().astype(float)
+    if not (y == 1).any() or not (y == 0).any():
         return None
-    terms = _telling(sample, n_toxic, n_clean)
-    model = Model({t: i for i, t in enumerate(terms)}, np.ones(len(terms)), np.empty(0), [], Index(0, {}, {}))
+    flat, owner = _flat(rows.column("terms"))
+    coded = flat.dictionary_encode()
+    numbers = coded.indices.to_numpy().astype(np.int64)
+    counts = _flat(rows.column("counts"))[0].to_numpy()
+    order = np.lexsort((numbers, owner))
+    owner, numbers, counts = owner[order], numbers[order], counts[order]
+    terms = coded.dictionary.to_pylist()
+    model = Model(terms, gains(owner, numbers, y, len(terms)), y, rows.column("doc_id").to_pylist())
 
     def frequencies(batches):
-        total, count = 0, np.zeros(len(terms), np.int64)
+        count = np.zeros(len(model.terms) + 1, np.int64)
         for b in batches:
             for text in b.column("text").to_pylist():
-                count[model.terms(text)] += 1
-                total += 1
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int32()), pa.array([total, *count[some].tolist()], pa.int64())], names=["term", "n"])
-
-    counted = dict(docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect())
-    df = np.array([counted.get(i, 0) for i in range(len(terms))], float)
-    model.idf = np.log((1 + counted.get(-1, 0)) / (1 + df)) + 0.1
-
-    def vectors(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([model.terms(t).tolist() for t in b.column("text").to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
-
-    rows = sample.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>").collect()
-    sample.unpersist()
-    rows.sort(key=lambda r: (list(r[2]), r[0]))  # like examples share blocks, which makes their bounds tight
-    own = [np.array(r[2], np.int64) for r in rows]
-    model.ids, model.labels = [r[0] for r in rows], np.array([r[1] for r in rows], float)
-    model.index = Index.build([model.vector(t) for t in own])
-    raw = np.array([model.vote(t, i)[0] for i, t in enumerate(own)])
-    # each label weighs as it does among all labelled rows, whatever the sample's shares
-    weight = np.where(model.labels == 1, odds * n_clean / n_toxic, 1.0)
-    model.steps, model.levels = isotonic(raw, model.labels, weight)
+                count[model.read(text)[0]] += 1
+                count[-1] += 1
+        if count[-1]:
+            yield from packed_counts(count)
+
+    with tidy(docs.sparkSession):
+        total = add_counts(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(frequencies, "part int, counts binary"), len(terms) + 1)
+    model.learn(int(total[-1]), total[:-1], owner, numbers, counts, odds)
     return model
 
 
@@ -281,11 +333,11 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] | None = N
     """The columns of docs named in keep (all if None) with held_out boolean, score double, predicted int and evidence string.
 
     A score is the calibrated, similarity-weighted vote of the NEIGHBOURS nearest labelled
-    examples; its input is the text alone. A null or empty text, or one without any of the
-    vocabulary's terms, has no neighbours and gets the share of toxic rows among such
-    examples. Without a model (no examples of both labels) every score is 0. predicted is 1
-    from 0.5 on. Columns of docs that are named like a new one are replaced; rows that repeat
-    are scored alike; a null doc_id counts as held out. No shuffle.
+    examples; its input is the text alone, in whole, whatever its length. A null or empty text,
+    or one without any term of the examples, has no neighbours and gets the share of toxic rows
+    among such examples. Without a model (no examples of both labels) every score is 0.
+    predicted is 1 from 0.5 on. Columns of docs that are named like a new one are replaced; rows
+    that repeat are scored alike; a null doc_id counts as held out; no rows give no rows. No shuffle.
     """
     new = ["held_out", "score", "predicted", "evidence"]
     keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in new)
@@ -294,7 +346,10 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] | None = N
 
     def run(batches):
         for b in batches:
-            got = [model.score(t) if model else (0.0, "") for t in b.column(len(keep)).to_pylist()]
+            texts, got = b.column(len(keep)), []
+            for at in range(0, b.num_rows, TOGETHER):
+                some = texts.slice(at, TOGETHER).to_pylist()
+                got += model.scores(some) if model else [(0.0, "")] * len(some)
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(len(keep))), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.string())], names=[*keep, "score", "evidence"]
             )
