@@ -32,15 +32,16 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
-OP2_SQL = """
-with t as (select conv_id, turn, coalesce(role, 'unknown') as who, coalesce(text, '') as text,
+OP2_SQL = r"""
+with t as (select conv_id, turn, regexp_replace(regexp_replace(coalesce(role, 'unknown'), '<(\\*)\|', '<\\\1|', 'g'), '[\r\n]', ' ', 'g') as who,
+    regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') as text,
     cast(floor(coalesce(turn, 0) / 512) as bigint) as part from conversations),
 r as (select distinct conv_id as c, who as perspective from t),
 x as (select t.*, perspective,
     case when who = perspective then '<|im_start|>assistant' || chr(10) || text || '<|im_end|>' || chr(10)
       else '<|im_start|>user name=' || who || chr(10) || text || '<|im_end|>' || chr(10) end as line
   from t join r on t.conv_id is not distinct from r.c),
-y as (select *, coalesce(sum(length(line)) over (partition by conv_id, perspective, part order by turn nulls first, who, text
+y as (select *, coalesce(sum(length(line)) over (partition by conv_id, perspective order by part, turn nulls first, who, text
     rows between unbounded preceding and 1 preceding), 0) as pos from x)
 select conv_id, perspective, part, count(*) as n_turns, string_agg(line, '' order by turn nulls first, who, text) as text,
   coalesce(string_agg(case when who = perspective then cast(cast(pos + 22 as bigint) as varchar) || '-' || cast(cast(pos + length(line) - 1 as bigint) as varchar) end,

@@ -102,14 +102,39 @@ def _parse(head: bytes) -> dict[str, str]:
     return out
 
 
+class _Window:
+    """Reads of a file at any place, from a buffer that moves on in steps of STEP."""
+
+    STEP = 1 << 20
+
+    def __init__(self, f):
+        self.f, self.at, self.data = f, 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        """n bytes from `at` on; fewer at the file's end alone."""
+        if not self.at <= at <= at + n <= self.at + len(self.data):
+            self.f.seek(at)
+            self.at, self.data = at, self.f.read(self.STEP)
+        return self.data[at - self.at : at - self.at + n]
+
+
+#: Bytes that are inflated at once in search of the end of a record's headers, and of a payload.
+HEAD, PART = 1 << 10, 1 << 18
+
+
 def records(f, compressed: bool, wanted, with_block) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, block) of the records for which wanted(headers) holds; block is None unless with_block(headers)."""
+    """(headers, block) of the records for which wanted(headers) holds; block is None unless with_block(headers).
+
+    Of a gzip member as much as HEAD bytes past its headers is inflated, and the rest only if the
+    block is asked for, or, piece by piece, to find the end of a member that does not state it.
+    """
     f.seek(0)
     end = f.size()
     at = 0
+    window = _Window(f)
     while at < end:
-        f.seek(at)
         if not compressed:
+            f.seek(at)
             head, start = _head_plain(f, at)
             if head is None:
                 return
@@ -123,17 +148,26 @@ def records(f, compressed: bool, wanted, with_block) -> Iterator[tuple[dict[str,
                     block = f.read(n)
                 yield h, block
             continue
-        first = f.read(1 << 16)
+        first = window.get(at, 24)
         skip = None
         if first[3:4] == b"\x04" and first[12:14] == _LENGTH_FIELD:
             skip = struct.unpack("<Q", first[16:24])[0]
         z = zlib.decompressobj(31)
-        data = z.decompress(first)
+        to = at
+
+        def inflate(most):
+            nonlocal to
+            left = z.unconsumed_tail
+            if not left:
+                left = window.get(to, 4096 if most == HEAD else PART)
+                if not left:
+                    raise ValueError("truncated WARC member")
+                to += len(left)
+            return z.decompress(left, most)
+
+        data = b""
         while b"\r\n\r\n" not in data and not z.eof:
-            more = f.read(1 << 16)
-            if not more:
-                break
-            data += z.decompress(more)
+            data += inflate(HEAD)
         head, _, rest = data.partition(b"\r\n\r\n")
         h = _parse(head)
         ok = wanted(h)
@@ -143,13 +177,10 @@ def records(f, compressed: bool, wanted, with_block) -> Iterator[tuple[dict[str,
         else:
             parts = [rest]
             while not z.eof:
-                more = f.read(1 << 18)
-                if not more:
-                    raise ValueError("truncated WARC member")
-                got = z.decompress(more)
+                got = inflate(PART)
                 if need:
                     parts.append(got)
-            at = f.tell() - len(z.unused_data)
+            at = to - len(z.unused_data)
             rest = b"".join(parts)
         if ok:
             yield h, rest[: int(h.get("content-length", 0))] if need else None
@@ -165,6 +196,19 @@ def _head_plain(f, at: int) -> tuple[bytes | None, int]:
     return data[:cut], at + cut + 4
 
 
+_LIST = "_archives-"
+
+
+def _committed(fs: pafs.FileSystem, root: str) -> dict[str, list[str]]:
+    """The lists that writes have left in a folder, each with the archives of its write."""
+    out = {}
+    for x in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if x.base_name.startswith(_LIST):
+            with fs.open_input_stream(x.path) as f:
+                out[x.path] = json.loads(f.read())
+    return out
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, schema, options):
         self.names = [x.name for x in schema.fields]
@@ -189,13 +233,10 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, root = _open(self.path)
-        manifest = f"{root.rstrip('/')}/_archives.json"
-        if fs.get_file_info(manifest).type == pafs.FileType.File:
-            with fs.open_input_stream(manifest) as f:
-                names = json.loads(f.read())
-            found = fs.get_file_info([f"{root.rstrip('/')}/{x}" for x in names])
-        elif fs.get_file_info(root).type == pafs.FileType.File:
+        if fs.get_file_info(root).type == pafs.FileType.File:
             found = [fs.get_file_info(root)]
+        elif listed := _committed(fs, root):
+            found = fs.get_file_info([f"{root.rstrip('/')}/{x}" for names in listed.values() for x in names])
         else:
             found = [x for x in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if x.path.endswith((".warc", ".warc.gz"))]
         bins, size = [[]], 0
@@ -259,8 +300,8 @@ class WarcReader(DataSourceReader):
 class WarcWriter(DataSourceArrowWriter):
     """Takes record_type, record_id, target_uri, refers_to, warc_date and payload (the full payload, of revisits too)."""
 
-    def __init__(self, options):
-        self.path = options["path"]
+    def __init__(self, options, overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
         self.gz = options.get("compression", "gzip") == "gzip"
 
     def write(self, iterator):
@@ -301,10 +342,16 @@ class WarcWriter(DataSourceArrowWriter):
         )
 
     def commit(self, messages):
+        """Lists this write's archives in a file of its own, so that writes to one folder add up; an overwriting one then drops the others'."""
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root.rstrip('/')}/_archives.json") as f:
+        before = _committed(fs, root) if self.overwrite else {}
+        with fs.open_output_stream(f"{root.rstrip('/')}/{_LIST}{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(sorted(m.file for m in messages if m and m.file)).encode())
+        for path, names in before.items():
+            fs.delete_file(path)
+            for x in names:
+                fs.delete_file(f"{root.rstrip('/')}/{x}")
 
     def abort(self, messages):
         fs, root = _open(self.path)
@@ -331,7 +378,7 @@ class WarcSource(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -369,7 +416,10 @@ def with_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
 
 
 def archive(pages: DataFrame, path: str, min_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes one WARC record for every row of pages (see with_revisits) to the folder path."""
+    """Writes one WARC record for every row of pages (see with_revisits) to the folder path, beside the archives there.
+
+    A task holds one row's payload at a time beside its Arrow batch, whatever its length. No pages leave an empty list of archives.
+    """
     register(pages.sparkSession)
     uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     with_revisits(pages, min_bytes).select(

@@ -130,13 +130,15 @@ def test_rotation(spark):
         seats[c] |= {w for w, _ in said}
     assert set(got) == {(c, s, p) for c, p in want for s in seats[c]}
     for (c, s, p), r in got.items():
-        text, mask = "", []
+        # spans count from the dialogue's start, so that parts join to the whole
+        text, mask = "".join(got[(c, s, q)].text for _, _, q in sorted(k for k in got if k[:2] == (c, s) and k[2] < p)), []
+        start = len(text)
         for w, x in want[(c, p)]:
             head = "<|im_start|>assistant\n" if w == s else f"<|im_start|>user name={w}\n"
             if w == s:
                 mask.append(f"{len(text) + len(head)}-{len(text) + len(head) + len(x) + 10}")
             text += f"{head}{x}<|im_end|>\n"
-        assert (r.text, r["mask"], r.n_turns) == (text, ",".join(mask), len(want[(c, p)]))
+        assert (r.text, r["mask"], r.n_turns) == (text[start:], ",".join(mask), len(want[(c, p)]))
     assert chat.rotate(df.limit(0)).count() == 0
 
 
