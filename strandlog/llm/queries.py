@@ -52,7 +52,7 @@ from y group by conv_id, perspective, part
 
 def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = stage(telephony.store(table(spark, sf_dir, "documents")), "telephony-media")
-    return stage(telephony.read_back(media, pcm=True), "telephony-pcm").drop("pcm")
+    return telephony.read_back(media, pcm=True)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

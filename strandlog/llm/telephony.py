@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,10 @@ BLOCK = 64
 RATE, TO_RATE = 8000, 16000
 #: Samples that are decoded at once.
 SPAN = 4 << 20
+#: Bytes of media that are read at once, as many rows as they are.
+TOGETHER = 1 << 20
+#: So many squares of 16-bit samples add up to less than 2**53.
+EXACT = 1 << 22
 ADPCM_SAMPLES = (BLOCK - 4) * 2 + 1
 
 # Fixed values of the IMA ADPCM format: index adjustment of each code's magnitude.
@@ -37,6 +42,17 @@ STEPS = np.array(
 )
 
 
+def _adpcm_tables() -> tuple[np.ndarray, np.ndarray]:
+    """What a code adds to the value and the index it leads to, by index * 16 + code."""
+    index, code = np.divmod(np.arange(89 * 16, dtype=np.int32), 16)
+    size = STEPS[index]
+    change = (size >> 3) + (size >> 2) * (code & 1) + (size >> 1) * (code >> 1 & 1) + size * (code >> 2 & 1)
+    return np.where(code & 8, -change, change).astype(np.int32), np.clip(index + INDEX_STEP[code & 7], 0, 88).astype(np.int32)
+
+
+CHANGE, NEXT = _adpcm_tables()
+
+
 def mulaw_table() -> np.ndarray:
     """ITU-T G.711 mu-law: the 16-bit sample of each of the 256 codes."""
     code = ~np.arange(256, dtype=np.int32) & 0xFF
@@ -67,13 +83,9 @@ def adpcm_decode(data: np.ndarray) -> np.ndarray:
     out = np.empty((ADPCM_SAMPLES, len(blocks)), np.int16)
     out[0] = value
     for k, code in enumerate(codes, 1):
-        size = STEPS[index]
-        change = size >> 3
-        change += np.where(code & 4, size, 0)
-        change += np.where(code & 2, size >> 1, 0)
-        change += np.where(code & 1, size >> 2, 0)
-        value = np.clip(np.where(code & 8, value - change, value + change), -32768, 32767)
-        index = np.clip(index + INDEX_STEP[code & 7], 0, 88)
+        at = index * 16 + code
+        value = np.clip(value + CHANGE[at], -32768, 32767)
+        index = NEXT[at]
         out[k] = value
     return out.T.reshape(-1)
 
@@ -150,46 +162,69 @@ def store(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sizes, media = [], []
-            for text in b.column(len(keep)).to_pylist():
-                n, payload = payload_of(text)
-                sizes.append(n)
-                media.append(wave(pick(payload), payload))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])
+            for at in range(0, b.num_rows, 512):
+                part, sizes, media = b.slice(at, 512), [], []
+                for text in part.column(len(keep)):
+                    n, payload = payload_of(text.as_py())
+                    sizes.append(n)
+                    media.append(wave(pick(payload), payload))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])
 
     return kept.mapInArrow(run, fields + "n_bytes long, media binary")
 
 
-def describe(tag: int, data: bytes) -> tuple[str, int, list[np.ndarray]]:
-    """(feature, samples, resampled parts): level and zero crossings of the decoded, resampled audio, span by span.
-
-    Neighbouring samples are carried over the spans' bounds, so the result is that of the whole, whatever SPAN (two codes at least) is.
-    """
-    codes = np.frombuffer(data, np.uint8)
-    spans = (decode(tag, codes[at : at + SPAN]) for at in range(0, len(codes), SPAN))
+def _measured(tag: int, spans) -> tuple[str, int, list[np.ndarray]]:
+    """(feature, samples, resampled parts) of spans of decoded samples, neighbours of which are carried over their bounds."""
+    spans = iter(spans)
     n = peak = crossings = 0
-    power, parts, last = 0, [], 0
+    power, parts, last = 0, [], False
     before, now = None, next(spans, None)
     while now is not None:
         after = next(spans, None)
         pcm = resample(now, before, after)
         before, now = now, after
-        wide = pcm.astype(np.int32)
-        power += int(np.square(wide, dtype=np.int64).sum())
-        peak = max(peak, int(np.abs(wide).max()))
-        below = np.r_[last, pcm < 0]
-        crossings += int(np.count_nonzero(below[1:] != below[:-1]))
+        for at in range(0, len(pcm), EXACT):  # sums below 2**53, so that they are exact
+            wide = pcm[at : at + EXACT].astype(np.float64)
+            power += int(np.dot(wide, wide))
+        peak = max(peak, int(pcm.max()), -int(pcm.min()))
+        below = pcm < 0
+        crossings += int(np.count_nonzero(below[1:] != below[:-1])) + int(below[0] != last)
         last = bool(below[-1])
         n += len(pcm)
         parts.append(pcm)
     return f"{NAMES[tag]};rate={TO_RATE};n={n};peak={peak};power={power};crossings={crossings}", n, parts
 
 
+def describe(tag: int, data: bytes) -> tuple[str, int, list[np.ndarray]]:
+    """(feature, samples, resampled parts): level and zero crossings of the decoded, resampled audio, span by span.
+
+    Neighbouring samples are carried over the spans' bounds, so the result is that of the whole, whatever SPAN (two codes at least) is.
+    """
+    codes = np.frombuffer(data, np.uint8)
+    return _measured(tag, (decode(tag, codes[at : at + SPAN]) for at in range(0, len(codes), SPAN)))
+
+
+def describe_all(waves: list[tuple[int, bytes]]) -> list[tuple[str, int, list[np.ndarray]]]:
+    """describe() of each of some (tag, data) of SPAN codes in all: the ADPCM blocks of all are decoded in one go."""
+    blocks = [np.frombuffer(d, np.uint8) for t, d in waves if t == ADPCM]
+    pcm = adpcm_decode(np.concatenate(blocks)) if blocks else None
+    out, at = [], 0
+    for tag, data in waves:
+        if tag == ADPCM:
+            n = len(data) // BLOCK * ADPCM_SAMPLES
+            out.append(_measured(tag, [pcm[at : at + n]]))
+            at += n
+        else:
+            out.append(_measured(tag, [TABLES[tag][np.frombuffer(data, np.uint8)]]))
+    return out
+
+
 def read_back(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), pcm: bool = False) -> DataFrame:
     """media (see store) read, decoded and resampled: the columns named in keep, payload_bytes, payload_sha256,
     tail_crc32 (of the last 64 stored bytes), media_bytes, media_sha256, feature and, with pcm, the 16 kHz
     little-endian 16-bit samples. A null media gives nulls; anything but a WAVE file of the three formats fails.
-    Each row is decoded in spans of SPAN codes. No shuffle.
+    Rows are decoded in groups of TOGETHER codes at most, a longer one by itself in spans of SPAN codes. No rows
+    give no rows. No shuffle.
     """
     kept = media.select(*keep, "media")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
@@ -197,19 +232,26 @@ def read_back(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), p
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * pcm]
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["pcm"] * pcm]
 
+    def rows(column):
+        waves = [None if x is None else (*unwave(x), x) for x in column.to_pylist()]
+        told = iter(describe_all([w[:2] for w in waves if w]) if sum(len(w[1]) for w in waves if w) <= SPAN else [describe(*w[:2]) for w in waves if w])
+        for w in waves:
+            if w is None:
+                yield (None,) * len(kinds)
+                continue
+            (_, data, whole), (feature, _, parts) = w, next(told)
+            row = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(whole), hashlib.sha256(whole).hexdigest(), feature)
+            yield row + ((np.concatenate(parts).astype("<i2").tobytes(),) if pcm else ())
+
     def run(batches):
         for b in batches:
-            rows = []
-            for value in b.column("media"):
-                whole = value.as_py()
-                if whole is None:
-                    rows.append((None,) * len(kinds))
-                    continue
-                tag, data = unwave(whole)
-                feature, _, parts = describe(tag, data)
-                row = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(whole), hashlib.sha256(whole).hexdigest(), feature)
-                rows.append(row + ((np.concatenate(parts).astype("<i2").tobytes(),) if pcm else ()))
-            cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*keep, *names])
+            size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(b.column("media")), 0).to_numpy().astype(np.int64))
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TOGETHER, "right")))
+                part = b.slice(at, to - at)
+                cols = list(zip(*rows(part.column("media")), strict=True))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*keep, *names])
+                at = to
 
     return kept.mapInArrow(run, out)
