@@ -39,19 +39,19 @@ def _bundle(word: str, last: int) -> int:
     back = re.fullmatch(r"(?:head)?~(.*)", word)
     if back:
         if not back[1].isdigit():
-            raise ValueError(f"Invalid offset in '{word}': expected a number")
+            raise ValueError(f"{word!r}: what follows ~ has to be a whole number")
         if int(back[1]) >= last:
-            raise ValueError(f"Offset {back[1]} in '{word}' exceeds maximum bundle {last}")
+            raise ValueError(f"{word!r} goes back beyond the first of {last} bundles")
         return last - int(back[1])
     if not word.isdigit():
-        raise ValueError(f"Invalid bundle specifier: '{word}'")
+        raise ValueError(f"{word!r} names no bundle")
     return int(word)
 
 
 def bundle_intervals(spec: str, last: int) -> list[tuple[int, int]]:
     """Inclusive, sorted, disjoint intervals of a spec such as `1-10,15`, `root`, `head~2`, `~2` or `latest:5`."""
     if last == 0:
-        raise ValueError("No bundles available")
+        raise ValueError("the log has no bundles yet")
     if spec.startswith("latest:"):
         n = int(spec.removeprefix("latest:"))
         return [(max(1, last - n + 1), last)] if n else []
@@ -59,14 +59,14 @@ def bundle_intervals(spec: str, last: int) -> list[tuple[int, int]]:
     for part in filter(None, map(str.strip, spec.split(","))):
         ends = part.split("-")
         if len(ends) > 2:
-            raise ValueError(f"Invalid range format: {part}")
+            raise ValueError(f"{part!r} is no range")
         low, high = _bundle(ends[0], last), _bundle(ends[-1], last)
         if not low or not high:
-            raise ValueError("Bundle number cannot be 0")
+            raise ValueError("bundles are numbered from 1 on")
         if low > high:
-            raise ValueError(f"Invalid range: {low} > {high} (start must be <= end)")
+            raise ValueError(f"{part!r} ends before it starts")
         if high > last:
-            raise ValueError(f"Bundle number {high} out of range (max: {last})")
+            raise ValueError(f"{part!r} is out of range: bundle {last} is the last one")
         out.append((low, high))
     return merged(out)
 
@@ -77,12 +77,12 @@ def operation_intervals(spec: str, last: int | None = None) -> list[tuple[int, i
     for part in filter(None, map(str.strip, spec.split(","))):
         ends = [x.strip() for x in part.split("-")]
         if len(ends) > 2 or not all(x.isdigit() for x in ends):
-            raise ValueError(f"Invalid range format: {part}")
+            raise ValueError(f"{part!r} is no range")
         low, high = int(ends[0]), int(ends[-1])
         if low > high:
-            raise ValueError(f"Invalid range: {low} > {high} (start must be <= end)")
+            raise ValueError(f"{part!r} ends before it starts")
         if last is not None and high > last:
-            raise ValueError(f"Operation {high} out of range (max: {last})")
+            raise ValueError(f"{part!r} is out of range: operation {last} is the last one")
         out.append((low, high))
     return merged(out)
 
@@ -116,10 +116,10 @@ def parse_pointer(pointer: str, size: int = BUNDLE_SIZE) -> tuple[int, int]:
     b, colon, p = pointer.partition(":")
     if colon:
         if not b.isdigit() or not p.isdigit():
-            raise ValueError(f"Invalid position: {pointer}")
+            raise ValueError(f"{pointer!r} has to be two whole numbers")
         if int(b) < 1:
-            raise ValueError("Bundle number must be >= 1")
+            raise ValueError("bundles are numbered from 1 on")
         return int(b), int(p)
     if not pointer.isdigit():
-        raise ValueError("Invalid position: must be number or 'bundle:position' format")
+        raise ValueError(f"{pointer!r} is neither a global position nor bundle:position")
     return int(pointer) // size + 1, int(pointer) % size

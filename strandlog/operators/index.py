@@ -22,12 +22,19 @@ def write(index: DataFrame, path: str) -> None:
     index.repartition("shard").sortWithinPartitions("identifier").write.mode("overwrite").partitionBy("shard").option("parquet.bloom.filter.enabled#identifier", "true").parquet(path)
 
 
+def merged(entries: DataFrame) -> DataFrame:
+    """Entries of an index and its later layers as one entry an identifier: locations sorted, each once."""
+    one = F.array_sort(F.array_distinct(F.flatten(F.collect_list("locations"))))
+    return entries.groupBy("shard", "identifier").agg(one.alias("locations"))
+
+
 def updated(index: DataFrame, ops: DataFrame) -> DataFrame:
-    """index with further operations; places that it has already are not added again."""
-    old = index.select("identifier", F.explode("locations").alias("l")).select("identifier", "l.global_pos", "l.nullified")
-    new = ops.select(identifier("did").alias("identifier"), "global_pos", "nullified").where("identifier is not null")
-    g = old.unionByName(new).distinct().groupBy("identifier").agg(F.sort_array(F.collect_list(F.struct("global_pos", "nullified"))).alias("locations"))
-    return g.select(shard("identifier").alias("shard"), "identifier", "locations")
+    """index with further operations; places that it has already are not added again.
+
+    The operations are indexed by themselves, and merged entry by entry: entries are shuffled as they
+    are, not place by place. To write only what changes, see upkeep.Index.
+    """
+    return merged(index.select("shard", "identifier", "locations").unionByName(build(ops)))
 
 
 def lookup(index: DataFrame, dids: DataFrame) -> DataFrame:

@@ -131,10 +131,8 @@ def boundary_cids(ops: DataFrame) -> DataFrame:
     """(bundle, cid) of the trailing operations of each bundle that share its last time."""
     w = Window.partitionBy("bundle").orderBy(F.desc("position"))
     last = F.first("created_at").over(w)
-    other = F.max((F.col("created_at") != last).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     t = ops.select("bundle", "position", "cid", "created_at").withColumn("last", last)
     broken = F.max((F.col("created_at") != F.col("last")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    del other
     return t.withColumn("broken", broken).where("broken = 0 and cid is not null").select("bundle", "cid")
 
 

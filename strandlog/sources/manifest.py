@@ -27,24 +27,26 @@ def content(ops: DataFrame) -> DataFrame:
     )
 
 
-def chained(bundles: DataFrame, genesis: str = GENESIS) -> DataFrame:
+def chained(bundles: DataFrame, genesis: str = GENESIS, parent: str = "", cursor: str = "") -> DataFrame:
     """bundles (one row a bundle) with parent, hash and cursor: each hash is that of the parent's and the own content hash.
 
+    parent and cursor are those of the first of them: the hash and the end time of the bundle before it.
+
     A chain is a fold over the bundles in order, so one task goes through the manifest, one
     short row for each bundle.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bundles.schema.fields)
 
     def run(batches):
-        parent, cursor = "", ""
+        before, since = parent, cursor
         for b in batches:
             hashes, parents, cursors = [], [], []
             for h, end in zip(b.column("content_hash").to_pylist(), b.column("end_time").to_pylist(), strict=True):
-                parents.append(parent)
-                cursors.append(cursor)
-                parent = hashlib.sha256(f"{parent + ':' if parent else genesis}{h}".encode()).hexdigest()
-                cursor = end
-                hashes.append(parent)
+                parents.append(before)
+                cursors.append(since)
+                before = hashlib.sha256(f"{before + ':' if before else genesis}{h}".encode()).hexdigest()
+                since = end
+                hashes.append(before)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parents, pa.string()), pa.array(hashes, pa.string()), pa.array(cursors, pa.string())], names=[*b.schema.names, "parent", "hash", "cursor"])
 
     return bundles.repartition(1).sortWithinPartitions("bundle").mapInArrow(run, schema + ", parent string, hash string, cursor string")

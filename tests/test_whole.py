@@ -26,7 +26,7 @@ def test_head_and_latest_are_the_logs_own(spark, seven, sf):
     assert places(catalog.QUERIES["latest_n"](spark, seven)) == list(range(2500, 3200))
     assert places(catalog.QUERIES["bundle_range"](spark, seven)) == [*range(1500), *range(2000, 2500), *range(3000, 3200)]
     assert places(catalog.QUERIES["latest_n"](spark, sf)) == list(range(1000))
-    with pytest.raises(ValueError, match="out of range"):  # bundle 3 of two, as in the reference's parse_bundle_range
+    with pytest.raises(ValueError, match="out of range"):  # bundle 3 of two
         catalog.QUERIES["bundle_range"](spark, sf)
 
 
