@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -46,19 +48,22 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: Shuffle files of a job go when the job has ended, not when the driver happens to collect its garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of jobs whose result is stored or collected: shuffle files go when the job has ended, not when the driver
+#: happens to collect its garbage, and Arrow batches are small, as texts may be long.
+_TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 @contextlib.contextmanager
 def tidy(spark: SparkSession):
-    """Within it, jobs delete their shuffle files at their end: for jobs whose result is stored or collected."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    """Within it, jobs run with the settings above."""
+    before = {k: spark.conf.get(k, None) for k in _TIDY}
+    for k, v in _TIDY.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -117,6 +122,30 @@ def only_likely(df: DataFrame, keys: DataFrame, key: str, bits: int = 23) -> Dat
     )
 
 
+#: Rows of a batch that a function of mapInArrow gets at once.
+ROWS = 2048
+
+
+def _give_back() -> None:
+    """Returns freed memory of a Python worker to the system: workers outlive their tasks, and so would their peaks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(run):
+    """run, a function of mapInArrow, on batches of at most ROWS rows; at its end, what it held is given back."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(b.slice(at, ROWS) for b in batches for at in range(0, max(1, b.num_rows), ROWS))
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 #: Counts that one row of packed_counts() has.
 SLICE = 1 << 14
 
@@ -145,7 +174,7 @@ def add_counts(packed: DataFrame, n: int) -> np.ndarray:
 
     out = np.zeros(-(-n // SLICE) * SLICE, np.int64)
     with tidy(packed.sparkSession):
-        for part, sums in packed.repartition("part").mapInArrow(add, "part int, counts binary").collect():
+        for part, sums in packed.repartition("part").mapInArrow(released(add), "part int, counts binary").collect():
             out[part * SLICE : (part + 1) * SLICE] = np.frombuffer(sums, "<i8")
     return out[:n]
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from strandlog.llm._common import spare
+from strandlog.llm._common import released, spare
 
 #: Bytes (about) of the words that a worker remembers, and arcs of its table; beyond them it forgets all and starts again.
 REMEMBER, ARCS = 24 << 20, 1 << 18
@@ -249,4 +249,4 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = (), ids: bool = T
                 names.append("ids")
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + cols, names=[*keep, *names])
 
-    return kept.mapInArrow(run, out)
+    return kept.mapInArrow(released(run), out)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm._common import roots, stage
+from strandlog.llm._common import released, roots, stage
 from strandlog.llm.components import components
 
 #: Leading principal dimensions: GRID of them deal vectors to tasks, LEAD of them order and prune within a task.
@@ -47,7 +47,7 @@ def principal(units: DataFrame, lead: int = LEAD) -> dict[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([(x.T @ x).ravel().tolist()])], names=["d", "s"])
 
     rows = (
-        units.select("embedding").mapInArrow(run, "d int, s array<double>")
+        units.select("embedding").mapInArrow(released(run), "d int, s array<double>")
         .select("d", F.posexplode("s").alias("k", "v")).groupBy("d", "k").agg(F.sum("v").alias("v"))
         .groupBy("d").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("s")).collect()
     )
@@ -213,7 +213,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
             cols = [pa.array([g[k] for g in got], pa.int32()) for k in range(GRID)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "c0", "c1"])
 
-    placed = classes.select("node", "label", "dim", "copies", "embedding").mapInArrow(cells, "node long, label string, dim int, copies long, embedding array<double>, c0 int, c1 int")
+    placed = classes.select("node", "label", "dim", "copies", "embedding").mapInArrow(released(cells), "node long, label string, dim int, copies long, embedding array<double>, c0 int, c1 int")
     key = ["label", "dim", "c0", "c1"]
     parts = placed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
     near = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -223,7 +223,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     subs = F.when(F.col("own"), F.sequence("home", F.col("parts") - 1)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = met.withColumn("sub", F.explode(subs)).withColumn("flag", ~(F.col("own") & (F.col("sub") == F.col("home"))))
     dealt = dealt.select(*key, "sub", "flag", "node", "copies", "embedding")
-    joined = dealt.repartition(*key, "sub").sortWithinPartitions(*key, "sub", "flag").mapInArrow(_joined(axes, eps, least), "node long, n long, to long")
+    joined = dealt.repartition(*key, "sub").sortWithinPartitions(*key, "sub", "flag").mapInArrow(released(_joined(axes, eps, least)), "node long, n long, to long")
     joined = stage(joined, "vector-links")
     root = components(joined.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")), "vector-components")
     n = joined.groupBy(F.col("node").alias("n_node")).agg(F.sum("n").alias("n"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm._common import add_counts, only_likely, packed_counts, stage, tidy, unstage
+from strandlog.llm._common import add_counts, only_likely, packed_counts, released, stage, tidy, unstage
 
 #: Jaccard similarity of token sets, as a fraction.
 NUM, DEN = 4, 5
@@ -132,7 +132,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         if total.any():
             yield from packed_counts(total)
 
-    total = add_counts(docs.select("text").mapInArrow(count, "part int, counts binary"), BUCKETS)
+    total = add_counts(docs.select("text").mapInArrow(released(count), "part int, counts binary"), BUCKETS)
     return np.minimum(255, np.floor(8 * np.log2(1 + total))).astype(np.uint8)
 
 
@@ -376,7 +376,7 @@ def _check(checks: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame
     second = texts.select(F.col("id").alias("b"), F.col("place").alias("b_place"), F.col("words").alias("other"))
     both = checks.join(first, F.col("x") == F.col("a")).join(second, F.col("y") == F.col("b"))
     both = both.select("x", "open", "words", "other", (F.col("b_place") < F.col("a_place")).alias("later"))
-    done = stage(both.mapInArrow(_verified, "x long, ok boolean, open boolean"), "lines-verified")
+    done = stage(both.mapInArrow(released(_verified), "x long, ok boolean, open boolean"), "lines-verified")
     unstage(asked), unstage(texts)
     return done
 
@@ -400,7 +400,7 @@ def _bitmap(tokens: DataFrame) -> np.ndarray:
 
     out = np.zeros((64, 1 << 14), np.uint8)
     with tidy(tokens.sparkSession):
-        rows = tokens.mapInArrow(run, "k int, bits binary").repartition("k").mapInArrow(both, "k int, bits binary").collect()
+        rows = tokens.mapInArrow(released(run), "k int, bits binary").repartition("k").mapInArrow(released(both), "k int, bits binary").collect()
     for k, bits in rows:
         out[k] = np.frombuffer(bits, np.uint8)
     return out.ravel()
@@ -415,7 +415,7 @@ def _often(classes: DataFrame) -> tuple[int, list]:
             np.add.at(total, _bucket(b.column(0).flatten().drop_null().to_numpy()), 1)
         yield from packed_counts(total)
 
-    counts = add_counts(classes.select("prefix").mapInArrow(count, "part int, counts binary"), BUCKETS)
+    counts = add_counts(classes.select("prefix").mapInArrow(released(count), "part int, counts binary"), BUCKETS)
     total = int(counts.sum())
     least = max(HOT, total // HOT_TOKENS)
     some = counts > least  # fewer than HOT_TOKENS buckets; most corpora have none
@@ -429,7 +429,7 @@ def _often(classes: DataFrame) -> tuple[int, list]:
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int32()), pa.array(n, pa.int64())], names=["token", "n"])
 
     with tidy(classes.sparkSession):
-        return total, classes.select("prefix").mapInArrow(exact, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect()
+        return total, classes.select("prefix").mapInArrow(released(exact), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect()
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
@@ -452,8 +452,8 @@ def _near(classes: DataFrame, keyed: DataFrame) -> list[DataFrame]:
     buckets = max(1, -(-total // HELD))
     rounds, most, probes, wanted = [], WITNESSES, classes.withColumn("probe", F.lit(True)), None
     while True:
-        dealt = probes.select("id", "n", "f0", "f1", "prefix", "probe", "place.last", "place.doc", "place.line").mapInArrow(_deal(buckets, hot, wanted), "key long, postings binary")
-        pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(most), "x long, y long, dist int, more boolean")
+        dealt = probes.select("id", "n", "f0", "f1", "prefix", "probe", "place.last", "place.doc", "place.line").mapInArrow(released(_deal(buckets, hot, wanted)), "key long, postings binary")
+        pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(released(_candidates(most)), "x long, y long, dist int, more boolean")
         if not rounds:
             checks = pairs.groupBy("x").agg(F.min_by("y", "dist").alias("y"), (F.max("more") | (F.min("y") != F.max("y"))).alias("open"))
         else:
@@ -476,7 +476,7 @@ def removals(docs: DataFrame) -> DataFrame:
     row_key is xxhash64(doc_id, text). See `deduplicated` for what is removed.
     """
     keyed = _keyed(docs)
-    lines = stage(keyed.mapInArrow(_listed(rarity(keyed)), LINES), "lines")
+    lines = stage(keyed.mapInArrow(released(_listed(rarity(keyed))), LINES), "lines")
     place = _place()
     classes = lines.groupBy("s1", "s2", "n").agg(
         F.min(F.struct(place.alias("place"), "row_key")).alias("f"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("f0", "f1", "prefix"))

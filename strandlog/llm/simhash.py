@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm._common import roots, spare, stage
+from strandlog.llm._common import released, roots, spare, stage
 from strandlog.llm.components import components
 
 #: Population counts of the four 16-bit words of a fingerprint give its cell: 17 values each.
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, words: int = 3, key: str | None = None) -> Dat
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", "key"][: b.num_columns])
 
     kept = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col(key).alias("key")] if key else [])]
-    return docs.select(*kept).mapInArrow(run, "doc_id long, fp long" + ", key string" * bool(key))
+    return docs.select(*kept).mapInArrow(released(run), "doc_id long, fp long" + ", key string" * bool(key))
 
 
 def _counts(fp: np.ndarray, width: int) -> np.ndarray:
@@ -212,8 +212,8 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     sizes = np.zeros(CELLS, np.int64)
     for row in fps.groupBy(cell.alias("cell")).count().collect():
         sizes[row[0]] = -(-row[1] // TILE)
-    dealt = fps.select("fp").mapInArrow(_deal(sizes, radius), "key long, flag int, fps binary")
-    return dealt.repartition("key").sortWithinPartitions("key", "flag").mapInArrow(_link(radius), "a long, b long")
+    dealt = fps.select("fp").mapInArrow(released(_deal(sizes, radius)), "key long, flag int, fps binary")
+    return dealt.repartition("key").sortWithinPartitions("key", "flag").mapInArrow(released(_link(radius)), "a long, b long")
 
 
 def rooted(fp: DataFrame, least: Column, radius: int) -> DataFrame:

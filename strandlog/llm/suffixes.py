@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm._common import only_likely, stage
+from strandlog.llm._common import only_likely, released, stage
 
 LENGTH, GRAM = 200, 32
 #: Windows that are hashed at once, and windows that are sorted at once.
@@ -333,15 +333,15 @@ def _windows(length: int, gram: int):
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(key, low, high): in the distinct text with SHA-256 key, the windows that start from low to high are repeated in other places."""
-    found = docs.select("text").mapInArrow(_find(length, gram), ANCHOR)
-    met = found.repartition("meet").sortWithinPartitions("meet").mapInArrow(_meet, SETTLED)
+    found = docs.select("text").mapInArrow(released(_find(length, gram)), ANCHOR)
+    met = found.repartition("meet").sortWithinPartitions("meet").mapInArrow(released(_meet), SETTLED)
     met = stage(met, "suffixes")
     asked = met.where("kind > 0").groupBy("key").agg(F.collect_list(F.struct("gram", "kind", "at", "low", "high")).alias("asks"))
     texts = _texts(docs, met.where("kind > 0").select("key"))
-    bytes_ = texts.join(asked, "key").select("key", "text", "asks").mapInArrow(_look_up(length), "lead binary, gram long, kind int, key binary, ahead int, low int, bytes binary")
+    bytes_ = texts.join(asked, "key").select("key", "text", "asks").mapInArrow(released(_look_up(length)), "lead binary, gram long, kind int, key binary, ahead int, low int, bytes binary")
     lead = F.substring("lead", 1, gram)
     sorted_ = bytes_.withColumn("lead", lead).repartitionByRange("lead", "gram").sortWithinPartitions("lead", "gram").drop("lead")
-    more = stage(sorted_.mapInArrow(_windows(length, gram), "key binary, low int, high int"), "suffixes-more")
+    more = stage(sorted_.mapInArrow(released(_windows(length, gram)), "key binary, low int, high int"), "suffixes-more")
     return met.where("kind = 0").select("key", "low", "high").unionByName(more)
 
 
@@ -399,7 +399,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts:
     spans = found.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     spans = spans.join(copied.select(F.unhex("c_hex").alias("key")), "key", "left_anti")
     spans = stage(spans, "suffix-spans")
-    cut = _texts(rows, spans.select("key")).join(spans, "key").mapInArrow(_cut(length), "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = _texts(rows, spans.select("key")).join(spans, "key").mapInArrow(released(_cut(length)), "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
     cut = cut.select(F.lower(F.hex("key")).alias("k_hex"), "n_removed", "n_spans", F.col("kept_sha256").alias("k_sha"), *(["kept"] if texts else []))
     nothing = hashlib.sha256(b"").hexdigest()
     out = slim.join(copied, F.col("hex") == F.col("c_hex"), "left").join(cut, F.col("hex") == F.col("k_hex"), "left")

@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm._common import spare
+from strandlog.llm._common import released, spare
 
 MULAW, ALAW, ADPCM = 7, 6, 17  # WAVE format tags
 NAMES = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "adpcm"}
@@ -170,7 +170,7 @@ def store(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
                     media.append(wave(pick(payload), payload))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])
 
-    return kept.mapInArrow(run, fields + "n_bytes long, media binary")
+    return kept.mapInArrow(released(run), fields + "n_bytes long, media binary")
 
 
 def _measured(tag: int, spans) -> tuple[str, int, list[np.ndarray]]:
@@ -254,4 +254,4 @@ def read_back(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), p
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*keep, *names])
                 at = to
 
-    return kept.mapInArrow(run, out)
+    return kept.mapInArrow(released(run), out)

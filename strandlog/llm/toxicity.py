@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm._common import add_counts, packed_counts, spare, stage, tidy, unstage
+from strandlog.llm._common import add_counts, packed_counts, released, spare, stage, tidy, unstage
 
 #: Labelled rows that become examples, of each label at most: they bound the index and what the driver holds.
 #: Counts of labels, document frequencies and the scoring cover all rows.
@@ -299,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     and one number a term; the counting of documents is merged in the executors, by slices.
     """
     sample, odds = examples(docs, labels)
-    kept = stage(sample.mapInArrow(_terms, "doc_id string, toxic int, terms array<string>, counts array<bigint>"), "toxicity-examples")
+    kept = stage(sample.mapInArrow(released(_terms), "doc_id string, toxic int, terms array<string>, counts array<bigint>"), "toxicity-examples")
     rows = kept.toArrow().sort_by("doc_id")
     unstage(kept)
     y = rows.column("toxic").to_numpy().astype(float)
@@ -324,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             yield from packed_counts(count)
 
     with tidy(docs.sparkSession):
-        total = add_counts(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(frequencies, "part int, counts binary"), len(terms) + 1)
+        total = add_counts(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(released(frequencies), "part int, counts binary"), len(terms) + 1)
     model.learn(int(total[-1]), total[:-1], owner, numbers, counts, odds)
     return model
 
@@ -354,6 +354,6 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] | None = N
                 [*(b.column(i) for i in range(len(keep))), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.string())], names=[*keep, "score", "evidence"]
             )
 
-    out = kept.mapInArrow(run, fields + ", score double, evidence string")
+    out = kept.mapInArrow(released(run), fields + ", score double, evidence string")
     held = held_out() if "doc_id" in keep else F.lit(None).cast("boolean")
     return out.select(*keep, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
