@@ -116,6 +116,41 @@ def format_duration_compact(seconds: Column | str) -> Column:
     return F.concat(F.when(_c(seconds) < 0, "-").otherwise(""), out)
 
 
+def format_duration_ms(seconds: Column | str) -> Column:
+    """Milliseconds, with three decimals below 100."""
+    ms = _c(seconds).cast("double") * 1000
+    return F.when(ms < 100, F.format_string("%.3fms", ms)).otherwise(F.format_string("%.0fms", ms))
+
+
+#: Names and seconds of the units of long durations, the longest first.
+UNITS = (("year", 31_536_000), ("week", 604_800), ("day", 86_400), ("hour", 3600), ("minute", 60), ("second", 1))
+
+
+def format_duration_auto(seconds: Column | str) -> Column:
+    """Micro- and milliseconds below a second, seconds with a decimal below a minute, else about one unit, such as `2 hours`.
+
+    A unit is used from one and a half of it on (less half a unit below it), and so at least twice.
+    """
+    s = _c(seconds).cast("double")
+    out = F.when(s < 0.001, F.format_string("%.0f\u03bcs", s * 1e6)).when(s < 1, F.format_string("%.0fms", s * 1e3)).when(s < 60, F.format_string("%.1fs", s))
+    for (name, size), (_, below) in zip(UNITS, UNITS[1:], strict=False):
+        n = F.greatest(F.round(s / size).cast("long"), F.lit(2))
+        out = out.when(s + below / 2 >= 1.5 * size, F.concat(n.cast("string"), F.lit(f" {name}s")))
+    return out.otherwise(F.concat(F.round(s).cast("long").cast("string"), F.lit(" seconds")))
+
+
+def base_url(url: Column | str) -> Column:
+    """A repository's address without slashes and manifest names at its end."""
+    bare = F.regexp_replace(_c(url), "/+$", "")
+    return F.regexp_replace(F.regexp_replace(bare, "(/index\\.json)+$", ""), "(/plc_bundles\\.json)+$", "")
+
+
+def batch_size(needed: Column | str) -> Column:
+    """How many operations to ask an upstream for, so that some may be known already."""
+    n = _c(needed)
+    return F.when(n <= 50, 50).when(n <= 100, 100).when(n <= 500, 200).otherwise(1000)
+
+
 def format_age(seconds: Column | str) -> Column:
     s = _c(seconds)
     days, hours, minutes = (F.floor(s / n).cast("long") for n in (86400, 3600, 60))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.functions import scalar as S
 from strandlog.operators.log import instant, payload_path
 
+
 def rows() -> Column:
     return F.count(F.lit(1))
 
@@ -156,6 +158,28 @@ def listed(bundles: DataFrame) -> DataFrame:
     )
 
 
+def fields(bundles: DataFrame, now: Column | str | None = None) -> DataFrame:
+    """Every field of a bundle listing under its name and its other names; ages are as of now (default: the current time)."""
+    now = F.current_timestamp() if now is None else F.lit(now).cast("timestamp") if isinstance(now, str) else now
+    a, b = instant("start_time"), instant("end_time")
+    utc = lambda c: F.coalesce(F.date_format(instant(c), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col(c))
+    short = lambda c: F.left(c, F.lit(12))
+    age, span = F.unix_timestamp(now) - F.unix_timestamp(b), F.unix_timestamp(b) - F.unix_timestamp(a)
+    mb = lambda c: F.format_string("%.2f", F.col(c) / 1048576.0)
+    ratio = F.when(F.col("compressed_size") > 0, F.format_string("%.2f", F.col("uncompressed_size") / F.col("compressed_size"))).otherwise("0")
+    named = {
+        ("bundle",): F.col("bundle_number"), ("hash",): F.col("hash"), ("hash_short",): short("hash"), ("content",): F.col("content_hash"), ("content_short",): short("content_hash"),
+        ("parent",): F.col("parent"), ("parent_short",): short("parent"), ("date", "time"): utc("end_time"), ("date_short",): F.coalesce(F.date_format(b, "yyyy-MM-dd"), F.col("end_time")),
+        ("timestamp", "unix"): F.coalesce(F.unix_timestamp(b), F.lit(0)), ("age",): F.coalesce(S.format_duration_compact(age), F.lit("unknown")), ("age_seconds",): F.coalesce(age, F.lit(0)),
+        ("ops", "operations"): F.col("operation_count"), ("dids",): F.col("did_count"), ("size", "compressed"): F.col("compressed_size"), ("size_mb",): mb("compressed_size"),
+        ("size_h", "size_human"): S.format_bytes_compact(F.col("compressed_size")), ("uncompressed",): F.col("uncompressed_size"), ("uncompressed_mb",): mb("uncompressed_size"),
+        ("uncompressed_h", "uncompressed_human"): S.format_bytes_compact(F.col("uncompressed_size")), ("ratio",): ratio,
+        ("timespan", "duration"): F.coalesce(S.format_duration_compact(span), F.lit("unknown")), ("timespan_seconds",): F.coalesce(span, F.lit(0)),
+        ("start",): utc("start_time"), ("end",): utc("end_time"), ("created",): utc("created_at"),
+    }
+    return bundles.select(*(c.alias(n) for names, c in named.items() for n in names))
+
+
 def rollback(ops: DataFrame, target: int) -> DataFrame:
     """Operations, DIDs and bundles after bundle `target`, which a rollback to it gives up."""
     return ops.where(F.col("bundle") > target).agg(F.countDistinct("bundle").alias("bundles"), rows().alias("operations"), F.countDistinct("did").alias("dids"))

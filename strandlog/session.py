@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -15,3 +19,21 @@ SETTINGS = {
 
 def session(name: str = "strandlog", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=SETTINGS | conf).getOrCreate()
+
+
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of this machine for a local master."""
+    set_to = spark.conf.get("spark.checkpoint.dir", None)
+    if set_to:
+        return set_to.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir is not set, and the executors of {master} see no folder of this machine")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="strandlog-")
+        atexit.register(shutil.rmtree, _OWN[app], True)
+    return "file://" + _OWN[app]

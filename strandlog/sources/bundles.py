@@ -7,7 +7,7 @@ import json
 import struct
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.coords import BUNDLE_SIZE, to_global
@@ -18,11 +18,86 @@ SKIPPABLE = 0x184D2A50
 FRAME_OPS = 100
 
 
-def raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """bundle, position, raw of every non-empty line, of one file a partition; Spark's text source reads the frames itself."""
-    t = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("k"))
-    t = t.where("length(trim(raw)) > 0").withColumn("bundle", F.regexp_extract("file", "([0-9]{6})", 1).cast("int"))
-    return t.select("bundle", (F.row_number().over(Window.partitionBy("bundle").orderBy("k")) - 1).alias("position"), "raw")
+def frames_of(data: bytes) -> tuple[dict | None, int]:
+    """(metadata, place of the first frame) of a bundle file."""
+    meta = metadata_of(data)
+    return meta, 0 if meta is None else 8 + struct.unpack_from("<I", data, 4)[0]
+
+
+def lines_of(data: bytes) -> list[str]:
+    """The lines of a bundle file that are not empty, frame by frame."""
+    import io
+
+    import zstandard
+
+    _, start = frames_of(data)
+    text = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data[start:]), read_across_frames=True).read().decode()
+    return [x for x in text.split("\n") if x]
+
+
+def paths(folder: str, intervals: list[tuple[int, int]]) -> list[str]:
+    return [f"{folder.rstrip('/')}/{n:06d}.jsonl.zst" for low, high in intervals for n in range(low, high + 1)]
+
+
+def _content(spark: SparkSession, folder: str, intervals: list[tuple[int, int]] | None) -> DataFrame:
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9][0-9][0-9][0-9][0-9][0-9].jsonl.zst")
+    found = found.load(folder) if intervals is None else found.load(paths(folder, intervals))
+    return found.select(F.regexp_extract("path", r"([0-9]{6})\.jsonl\.zst$", 1).cast("int").alias("bundle"), "content")
+
+
+def raw_lines(spark: SparkSession, folder: str, intervals: list[tuple[int, int]] | None = None, errors: bool = False) -> DataFrame:
+    """bundle, position, raw of every line that is not empty, of the bundle files in a folder; with intervals, only those bundles' files are opened.
+
+    A file is read and decompressed by one task, and positions are made there: no shuffle. A
+    file that cannot be read fails the scan, or, with errors, gives one row with its error
+    (and null position and raw), and the scan goes on.
+    """
+
+    def run(batches):
+        for b in batches:
+            for bundle, content in zip(b.column("bundle").to_pylist(), b.column("content"), strict=True):
+                error = None
+                try:
+                    lines = lines_of(content.as_py())
+                except Exception as e:
+                    if not errors:
+                        raise ValueError(f"bundle {bundle}: {e}") from e
+                    lines, error = [], str(e)[:200] or type(e).__name__
+                n = len(lines) if error is None else 1
+                place = pa.array(range(n), pa.int32()) if error is None else pa.nulls(1, pa.int32())
+                cols = [pa.array([bundle] * n, pa.int32()), place, pa.array(lines if error is None else [None], pa.string())]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.array([error] * n, pa.string())] if errors else [])], names=["bundle", "position", "raw", "error"][: 3 + errors])
+
+    return _content(spark, folder, intervals).mapInArrow(run, "bundle int, position int, raw string" + ", error string" * errors)
+
+
+def points(spark: SparkSession, folder: str, wanted: list[tuple[int, int]]) -> DataFrame:
+    """bundle, position, raw of the operations at the wanted (bundle, position)s: only their files are opened, and only their frames decompressed."""
+    by: dict[int, list[int]] = {}
+    for bundle, position in wanted:
+        by.setdefault(bundle, []).append(position)
+
+    def run(batches):
+        for b in batches:
+            for bundle, content in zip(b.column("bundle").to_pylist(), b.column("content"), strict=True):
+                data = content.as_py()
+                places = sorted(set(by[bundle]))
+                yield pa.RecordBatch.from_arrays([pa.array([bundle] * len(places), pa.int32()), pa.array(places, pa.int32()), pa.array([operation_at(data, p) for p in places])], names=["bundle", "position", "raw"])
+
+    return _content(spark, folder, [(n, n) for n in sorted(by)]).mapInArrow(run, "bundle int, position int, raw string")
+
+
+def raw_bytes(spark: SparkSession, folder: str, decompressed: bool = False) -> DataFrame:
+    """bundle and content of each bundle file, as it is or decompressed."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                data = b.column("content")[i].as_py()
+                yield pa.RecordBatch.from_arrays([b.column("bundle").slice(i, 1), pa.array([("\n".join(lines_of(data)) + "\n").encode()], pa.binary())], names=["bundle", "content"])
+
+    found = _content(spark, folder, None)
+    return found.mapInArrow(run, "bundle int, content binary") if decompressed else found
 
 
 def parsed(lines: DataFrame, size: int = BUNDLE_SIZE, mode: str = "PERMISSIVE") -> DataFrame:
@@ -38,8 +113,8 @@ def parsed(lines: DataFrame, size: int = BUNDLE_SIZE, mode: str = "PERMISSIVE")
     )
 
 
-def scan(spark: SparkSession, path: str, size: int = BUNDLE_SIZE, mode: str = "PERMISSIVE") -> DataFrame:
-    return parsed(raw_lines(spark, path), size, mode)
+def scan(spark: SparkSession, path: str, size: int = BUNDLE_SIZE, mode: str = "PERMISSIVE", intervals: list[tuple[int, int]] | None = None) -> DataFrame:
+    return parsed(raw_lines(spark, path, intervals), size, mode)
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from strandlog.coords import BUNDLE_SIZE
 from strandlog.schema import MANIFEST
 from strandlog.sources.bundles import embedded_metadata, scan
+from strandlog.sources.store import Store
 
 GENESIS = "genesis:"
 
@@ -102,12 +102,9 @@ def check_sequence(bundles: DataFrame, last_bundle: int | None = None) -> DataFr
 
 
 def write(bundles: DataFrame, path: str, origin: str = "", version: str = "1.0") -> None:
-    """Writes a manifest to a local path under another name, then renames it. One short row a bundle comes to the driver."""
+    """Writes a manifest as one file, replaced as a whole, to any store. One short row a bundle comes to the driver."""
     rows = [r.asDict() for r in bundles.orderBy("bundle_number").toLocalIterator()]
     whole = {"version": version, "origin": origin, "last_bundle": rows[-1]["bundle_number"] if rows else 0, "updated_at": rows[-1]["created_at"] if rows else None,
              "total_size_bytes": sum(r["compressed_size"] for r in rows), "total_uncompressed_size_bytes": sum(r["uncompressed_size"] for r in rows), "bundles": rows}
-    with open(path + ".tmp", "w", encoding="utf-8") as f:
-        json.dump(whole, f)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(path + ".tmp", path)
+    folder, _, name = path.rpartition("/")
+    Store(bundles.sparkSession, folder or ".").put(name, json.dumps(whole).encode())
