@@ -139,6 +139,15 @@ def format_duration_auto(seconds: Column | str) -> Column:
     return out.otherwise(F.concat(F.round(s).cast("long").cast("string"), F.lit(" seconds")))
 
 
+def bundle_file(bundle: Column | str) -> Column:
+    return F.concat(F.lpad(_c(bundle).cast("string"), 6, "0"), F.lit(".jsonl.zst"))
+
+
+def bundle_of_file(name: Column | str) -> Column:
+    """The number that a bundle file's name has; null for other names."""
+    return F.nullif(F.regexp_extract(_c(name), r"^([0-9]{6})\.jsonl\.zst$", 1), F.lit("")).cast("int")
+
+
 def base_url(url: Column | str) -> Column:
     """A repository's address without slashes and manifest names at its end."""
     bare = F.regexp_replace(_c(url), "/+$", "")

@@ -35,13 +35,12 @@ def lines_of(data: bytes) -> list[str]:
     return [x for x in text.split("\n") if x]
 
 
-def paths(folder: str, intervals: list[tuple[int, int]]) -> list[str]:
-    return [f"{folder.rstrip('/')}/{n:06d}.jsonl.zst" for low, high in intervals for n in range(low, high + 1)]
-
-
 def _content(spark: SparkSession, folder: str, intervals: list[tuple[int, int]] | None) -> DataFrame:
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9][0-9][0-9][0-9][0-9][0-9].jsonl.zst")
-    found = found.load(folder) if intervals is None else found.load(paths(folder, intervals))
+    """bundle and content of the files in a folder; with intervals, only those bundles' files that are there are opened."""
+    names = "[0-9][0-9][0-9][0-9][0-9][0-9]"
+    if intervals is not None:
+        names = "{" + ",".join(f"{n:06d}" for low, high in intervals for n in range(low, high + 1)) + "}"
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"{names}.jsonl.zst").load(folder)
     return found.select(F.regexp_extract("path", r"([0-9]{6})\.jsonl\.zst$", 1).cast("int").alias("bundle"), "content")
 
 
