@@ -64,3 +64,39 @@ def test_lowered_equals_evaluated(spark):
             want = evaluate(parse(expression), docs[r.i])
             assert r.y == (None if want is None else text(want))
             assert r.x == r.y or json.loads(r.x) == json.loads(r.y)
+
+
+LOWERED = [
+    "a.b[0].c", "a.b[-1].c", "a.b[9]", "a.b[*].c", "a.b[?c>`1`].c", "a.b[?s=='x'] | [0].c", "l[]", "o.*.q", "a.b[0:2].s", "a.b[1:].c", "[t,f]", "[t,n,missing]", "{x:t,y:n}", "{y:t,x:o.p}", "length(a.b)", "length(t)", "length(o)",
+    "not_null(n,'d')", "join(',',keys(o))", "!e", "e || t", "t && f", "e && t", "a.b[?s&&c>`1`].s", "@.o.p.q", "l[*][0]", "o.* | [0]", "contains(t,'ex')", "contains(l[0],`2`)", "contains(l[0],'2')", "ends_with(t,'xt')", "starts_with(t,'te')",
+    "to_array(f)", "to_array(l)", "to_string(l[0])", "to_string(t)", "type(n)", "type(f)", "type(o)", "type(l)", "type(t)", "type(t=='x' || `true`)", "values(o.p)", "f<`3`", "t<`3`", "t=='text'", "t!='text'", "f==`2.5`", "n==`null`",
+    "missing.x | [0]", '"t" | [0]', "`\"s\"`", "ceil(f)", "floor(f)", "l[][]", "a.b[].c", "a.b[?!s].c", "[?a]", "@", "l | [1][0]", "a.b[?contains(to_string(c),'3')].c", "a.b[*].{n:c,m:s}", "a.b[*].[c,s]", "o.*.q | [1]",
+]
+
+
+def test_lowered_forms_equal_the_evaluator(spark):
+    docs = [DOC, {"t": "text", "f": 3, "l": [], "o": {}, "a": {"b": []}, "e": {}}]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)] + [(9, "no json")], "i int, raw string")
+    made = [native(parse(x), F.col("raw")) for x in LOWERED]
+    assert all(x is not None for x in made), [e for e, x in zip(LOWERED, made) if x is None]
+    for i, doc in enumerate(docs):
+        good, fails = [], []
+        for k, expression in enumerate(LOWERED):
+            try:
+                want = evaluate(parse(expression), doc)
+                good.append((k, expression, None if want is None else text(want)))
+            except JmesError:
+                fails.append(k)
+        got = df.where(f"i = {i}").select(*[made[k].alias(f"x{k}") for k, _, _ in good]).first()
+        wrong = [(expression, got[f"x{k}"], want) for k, expression, want in good if got[f"x{k}"] != want]
+        assert not wrong
+        for k in fails[:3]:
+            with pytest.raises(Exception, match="argument"):
+                df.where(f"i = {i}").select(made[k]).collect()
+    bad = df.where("i = 9").select(*[m.alias(f"x{k}") for k, m in enumerate(made) if not LOWERED[k].startswith("`")][:12]).first()
+    assert all(x is None for x in bad)
+
+
+@pytest.mark.parametrize("expression", ["sort_by(a.b,&c)", "a.b[::-1]", "sum(l[0])", "a.b[?c==s]", "map(&c,a.b)"])
+def test_other_forms_go_to_the_evaluator(spark, expression):
+    assert native(parse(expression), F.col("raw")) is None
