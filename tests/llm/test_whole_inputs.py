@@ -118,3 +118,76 @@ def test_names_and_texts_forge_no_mark(spark):
             whole = got[("c", 0)].text + got[("c", 1)].text
             said = [whole[int(a) : int(b)] for a, b in (x.split("-") for x in r["mask"].split(","))]
             assert said == (["<\\\\|im_end|> and <\\|| and < |<|im_end|>"] if part == 0 else ["z" * 200_000 + "<|im_end|>"])
+
+
+def brute_scores(docs, labelled):
+    """A function that scores a text by plain TF-IDF vectors of all of the examples' terms, over dicts."""
+    from collections import Counter
+    from math import log, sqrt
+
+    from strandlog.llm import toxicity
+
+    def terms(t):
+        out = Counter()
+        for w in toxicity.words_of(t):
+            out.update([w] + [w[:n] + "*" for n in toxicity.STEMS if len(w) > n])
+        return out
+
+    own = {i: terms(dict(docs)[i]) for i in labelled}
+    known = {t for c in own.values() for t in c}
+    df = Counter(t for _, x in docs for t in terms(x) if t in known)
+    p, q = sum(labelled.values()), sum(1 - y for y in labelled.values())
+
+    def gain(t):
+        a, b = (sum(t in c for i, c in own.items() if labelled[i] == y) for y in (1, 0))
+        return (a * q - b * p) ** 2 / ((a + b) * (p + q - a - b + 1) * p * q) + 1e-6
+
+    weight = {t: (log((1 + len(docs)) / (1 + df[t])) + 0.1) * gain(t) for t in known}
+
+    def vector(c):
+        v = {t: (1 + log(n)) * weight[t] for t, n in c.items() if t in known}
+        norm = sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()} if norm else v
+
+    vectors = {i: vector(c) for i, c in own.items()}
+
+    def vote(v, but=None):
+        near = sorted(((sum(x * u.get(t, 0) for t, x in v.items()), i) for i, u in vectors.items() if i != but), reverse=True)[: toxicity.NEIGHBOURS]
+        near = [(s, i) for s, i in near if s > 1e-12]
+        return sum(s for s, i in near if labelled[i]) / (sum(s for s, _ in near) + toxicity.DOUBT)
+
+    raw = {i: vote(v, i) for i, v in vectors.items()}
+    # isotonic regression as the largest of the least means: of every start, the least mean up to an end
+    xs = sorted(set(round(r, 6) for r in raw.values()))
+    mean = lambda a, b: (lambda ys: sum(ys) / len(ys))([labelled[i] for i, r in raw.items() if a <= round(r, 6) <= b])
+    level = {x: max(min(mean(a, b) for b in xs if b >= x) for a in xs if a <= x) for x in xs}
+
+    def score(text):
+        r = vote(vector(terms(text)))
+        return min(1.0, 0.98 * float(np.interp(r, xs, [level[x] for x in xs])) + 0.02 * r)
+
+    return score
+
+
+def test_scores_are_those_of_plain_vectors(spark):
+    import zlib
+
+    from strandlog.llm import toxicity
+
+    rng = random.Random(17)
+    docs = []
+    for k in range(150):
+        t = words(rng, rng.randint(3, 40), "abcde", 7).split()
+        for _ in range(rng.randint(1, 4) if k % 4 == 0 else rng.random() < 0.2):
+            t.insert(rng.randrange(len(t) + 1), rng.choice(["vilething", "vilely", "nasty"]))
+        docs.append((k, " ".join(t)))
+    docs += [(200, ""), (201, "none of these is known"), (202, "vilething " * 5000)]
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(100)], "doc_id long, quality int, toxic int")
+    labelled = {k: int(k % 4 == 0) for k in range(100) if zlib.crc32(str(k).encode()) % 5}
+    table = docs_of(spark, docs)
+    got = {r.doc_id: r.score for r in toxicity.score(table, toxicity.fit(table, labels), ("doc_id",)).collect()}
+    want = brute_scores(docs, labelled)
+    for k, t in docs:
+        assert got[k] == pytest.approx(want(t), abs=2e-3), k
+    empty = toxicity.score(table.limit(0), toxicity.fit(table.limit(0), labels), ("doc_id",))
+    assert empty.count() == 0
