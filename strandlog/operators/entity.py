@@ -58,9 +58,10 @@ def folded(ops: DataFrame) -> DataFrame:
     that has no names.
     """
     at = F.struct(*[c.alias(n) for c, n in zip(by_time(), ("t", "k"), strict=True)])
-    t = ops.where("not nullified").select("did", at.alias("at"), "raw", payload_path("type").alias("kind"))
-    sorted_ = F.transform(F.sort_array(F.collect_list(F.struct("at", "raw"))), lambda o: F.from_json(o["raw"], ENVELOPE)["operation"])
-    g = t.groupBy("did").agg(sorted_.alias("ops"), F.bool_or(F.coalesce(F.col("kind") == "plc_tombstone", F.lit(False))).alias("deactivated"))
+    # lines are parsed where they are read, and the operations are shuffled, not the lines
+    t = ops.where("not nullified").select("did", at.alias("at"), F.from_json("raw", ENVELOPE)["operation"].alias("x"))
+    in_order = F.array_sort(F.collect_list(F.struct("at", "x")), lambda p, q: F.when(p["at"] < q["at"], -1).when(p["at"] > q["at"], 1).otherwise(0))
+    g = t.groupBy("did").agg(F.transform(in_order, lambda o: o["x"]).alias("ops"), F.bool_or(F.coalesce(F.col("x.type") == "plc_tombstone", F.lit(False))).alias("deactivated"))
     zero = f"cast(named_struct('rotationKeys', array(), 'verificationMethods', map(), 'alsoKnownAs', array(), 'services', map()) as {STATE})"
     apply_ = f"cast({_APPLY} as {STATE})"
     return g.select("did", "deactivated", F.expr(f"aggregate(ops, {zero}, (s, x) -> {apply_})").alias("state"))
@@ -135,20 +136,20 @@ def fork_winners(ops: DataFrame, hours: int = WINDOW_HOURS) -> DataFrame:
     return t.where("n > 1").select("did", "prev", F.expr(fold)["cid"].alias("winner"), "n")
 
 
-def canonical(ops: DataFrame, most: int = 100_000) -> DataFrame:
+def canonical(ops: DataFrame) -> DataFrame:
     """(did, step, cid) of each DID's canonical chain: from its first operation on to the first child that is not nullified, else the first child.
 
-    The child of an operation is picked by one window over (did, prev); the walk goes over a DID's own
-    map of children, not over a join a step.
+    The child of an operation is picked by (did, prev); the walk goes over a DID's own map of
+    children, not over a join a step. It takes as many steps as there are children; where
+    children lead in a circle, what comes again is left out.
     """
-    del most
     order = F.struct(F.col("nullified").alias("n"), *[c.alias(k) for c, k in zip(by_time(), ("t", "g"), strict=True)])
     child = ops.where("prev is not null").groupBy("did", "prev").agg(F.min_by("cid", order).alias("next"))
     first = ops.groupBy("did").agg(F.min_by("cid", F.struct(*[c.alias(k) for c, k in zip(by_time(), ("t", "g"), strict=True)])).alias("cid"))
     kids = child.groupBy("did").agg(F.map_from_entries(F.collect_list(F.struct("prev", "next"))).alias("next"))
     t = first.join(kids, "did", "left")
-    walk = """aggregate(sequence(1, coalesce(size(next), 0) + 1), array(cid), (a, k) ->
-      if(try_element_at(next, element_at(a, -1)) is null or array_contains(a, try_element_at(next, element_at(a, -1))), a, array_append(a, try_element_at(next, element_at(a, -1)))))"""
+    walk = """array_distinct(aggregate(sequence(1, coalesce(size(next), 0) + 1), array(cid),
+      (a, k) -> concat(a, filter(array(try_element_at(next, element_at(a, -1))), x -> x is not null))))"""
     out = t.select("did", F.posexplode(F.expr(walk)).alias("step", "cid"))
     return out.select("did", F.col("step").cast("long").alias("step"), "cid")
 
