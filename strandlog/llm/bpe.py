@@ -9,8 +9,8 @@ state with a loop for every base symbol. The gadget of the merge (a, b) -> c
 
 So all arcs of one label end in one state, a state only ever loses an arc when it is
 made, and it gains arcs only through later merges. `Automaton` keeps just that: for each
-state its parent, its birth and the label it lost; for each token its left part, its
-birth and its end. The paths it accepts are exactly the tokenizations BPE makes, and
+state the token and the merge it was made for; for each token its parts, its birth and its
+end. The paths it accepts are exactly the tokenizations BPE makes, and
 every prefix of such a path is one, so one pass over a word leaves one state at each
 place that a token of the path may end: the encoder follows tables, with no merge loop.
 """
@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 
 from strandlog.llm._common import released, spare
 
-#: Bytes (about) of the words that a worker remembers, and arcs of its table; beyond them it forgets all and starts again.
-REMEMBER, ARCS = 24 << 20, 1 << 18
+#: Bytes (about) of the words that a worker remembers in each of two generations, and arcs of its table. A full young
+#: generation becomes the old one, and a word that is found there is young again; a full table starts again.
+REMEMBER, ARCS = 32 << 20, 1 << 18
 #: Bytes of the longest word that is remembered.
 SHORT = 64
 #: Letters, numbers and cases up to here have not changed between Unicode's editions.
@@ -50,7 +51,9 @@ class Automaton:
         self.left = [-1] * n_ids  # token -> the left part of the merge that made it
         self.born = [0] * n_ids  # token -> number of that merge, from 1 on
         self.end = [-1] * n_ids  # token -> state in which its arcs end; -1: it has none
-        self.parent, self.since, self.lost = [-1], [0], [-1]
+        self.right = [-1] * n_ids  # token -> the right part of that merge
+        self.owner, self.since = [-1], [0]  # state -> the token whose arcs it was made for, and by which merge
+        self.taken: dict[int, int] = {}  # (a, b) -> the merge that took b's arc from the end of a
         for t in base:
             self.end[t] = 0
         made = set(base)
@@ -62,11 +65,11 @@ class Automaton:
             made.add(c)
             if self.end[a] < 0 or self.end[b] < 0 or not self._has(self.end[a], b):
                 continue  # a is never before b by now, so c never is made
-            self.left[c], self.born[c], self.end[c] = a, r, self.end[b]
-            self.parent.append(self.end[a])
+            self.left[c], self.right[c], self.born[c], self.end[c] = a, b, r, self.end[b]
+            self.taken[a << 20 | b] = r
+            self.owner.append(a)
             self.since.append(r)
-            self.lost.append(b)
-            self.end[a] = len(self.parent) - 1
+            self.end[a] = len(self.owner) - 1
         self.table: dict[int, int] = {}
 
     def step(self, state: int, token: int) -> int:
@@ -80,14 +83,28 @@ class Automaton:
         return to
 
     def _has(self, state: int, token: int) -> bool:
-        while state:
-            if self.born[token] >= self.since[state]:  # the state is older: it has the arc if it had the left part's
-                token = self.left[token]
-            elif token == self.lost[state]:
-                return False
-            else:
-                state = self.parent[state]
-        return True
+        """Whether a state, as the end of token a after merge t, has an arc for a token.
+
+        A token that is younger than the state is there if its left part was. An older one is,
+        if the merge (a, token) has not taken it and the state had it before: as the end of a
+        when the token was made or, if a is younger, as the end of a's right part when a was made.
+        """
+        if not state:
+            return True
+        a, t = self.owner[state], self.since[state]
+        while True:
+            b = self.born[token]
+            if b < t or not b:
+                taken = self.taken.get(a << 20 | token)
+                if taken is not None and taken <= t:
+                    return False
+                if b < self.born[a]:
+                    a, t = self.right[a], self.born[a] - 1  # before that merge, which may be (a, a)
+                    continue
+                if not b:
+                    return True  # a and the token are base symbols: the first state
+                t = b
+            token = self.left[token]
 
 
 class Tokenizer:
@@ -102,6 +119,7 @@ class Tokenizer:
         self.text = {i: t for t, i in vocab.items()}
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.text |= {i: t for t, i in self.added.items()}
+        self.marks = {x[:2] for x in self.added}
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         pieces = spec["pre_tokenizer"]["pretokenizers"]
         self.pattern = pieces[0]["pattern"]["Regex"]
@@ -121,36 +139,60 @@ class Tokenizer:
             key = bytes(whole[c] for c in stem)
             (self.final if ends or not self.suffix else self.inner)[key] = i
             self.longest = max(self.longest, len(key))
-        self.prefixes = {k[:n] for d in (self.inner, self.final) for k in d for n in range(1, len(k) + 1)}
-        self.words: dict[str, tuple[bytes, bytes, int]] = {}
+        # bytes that a token starts with: that token within a word, or -1
+        self.nodes = {k[:n]: self.inner.get(k[:n], -1) for d in (self.inner, self.final) for k in d for n in range(1, len(k) + 1)}
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.room = REMEMBER
+        self.labels = [self.text.get(i, "").encode() for i in range(max(self.text) + 1)]
 
     def encode_word(self, word: bytes) -> list[int]:
-        """Token ids of one pre-split word."""
+        """Token ids of one pre-split word.
+
+        The word's one accepted path is looked for from the start, the longest token first. The
+        prefix up to any place has one accepted path, so a place is entered once at most.
+        """
         n = len(word)
         if n == 0:
             return []
-        step, inner, final, prefixes = self.automaton.step, self.inner, self.final, self.prefixes
-        state, back = [-1] * (n + 1), [(0, 0)] * (n + 1)
-        state[0] = 0
-        for i in range(n):
-            q = state[i]
-            if q < 0:
-                continue
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = word[i:j]
-                if piece not in prefixes:
+        step, table, nodes, final, longest = self.automaton.step, self.automaton.table, self.nodes, self.final, self.longest
+        seen = bytearray(n + 1)
+        out: list[int] = []
+        open_: list[tuple[int, list]] = []  # states on the path, each with the tokens that are left to try from it
+        i = state = 0
+        while True:
+            left, j, last = [], i + 1, min(n, i + longest + 1)
+            while j < last:
+                token = nodes.get(word[i:j])
+                if token is None:
+                    break
+                if token >= 0:
+                    left.append((j, token))
+                j += 1
+            if j == n and (token := final.get(word[i:])) is not None:
+                left.append((n, token))
+            open_.append((state, left))
+            while True:
+                if not open_:
+                    raise ValueError("a byte of the word is no symbol of the vocabulary")
+                state, left = open_[-1]
+                to = -1
+                while left and to < 0:
+                    j, token = left.pop()
+                    if not seen[j]:
+                        to = table.get(state << 20 | token)
+                        if to is None:
+                            to = step(state, token)
+                if to >= 0:
                     break
-                token = inner.get(piece) if j < n else final.get(piece)
-                if token is not None and state[j] < 0 and (to := step(q, token)) >= 0:
-                    state[j], back[j] = to, (i, token)
-        if state[n] < 0:
-            raise ValueError("a byte of the word is no symbol of the vocabulary")
-        out = []
-        while n:
-            n, token = back[n]
+                open_.pop()
+                if out:
+                    out.pop()
             out.append(token)
-        return out[::-1]
+            if j == n:
+                return out
+            seen[j] = 1
+            i, state = j, to
 
     def normalize(self, text: str) -> str:
         """NFC, runs of white space as one space, and lower case by single characters (no final sigma)."""
@@ -174,33 +216,36 @@ class Tokenizer:
             )
         return [w for w, _ in self.other[1].pre_tokenize_str(self.other[0].normalize_str(text))]
 
-    def word(self, w: str) -> tuple[bytes, bytes, int]:
-        """(ids as little-endian 32-bit, decoded bytes, number of ids) of a pre-split word, remembered."""
+    def word(self, w: str) -> bytes:
+        """Ids, as little-endian 32-bit, of a pre-split word, remembered."""
         got = self.words.get(w)
         if got is None:
-            ids = self.encode_word(w.encode("utf-8", "surrogatepass"))
-            got = (np.array(ids, "<u4").tobytes(), self.decode(ids).encode(), len(ids))
+            got = self.old.get(w)
+            if got is None:
+                got = np.array(self.encode_word(w.encode("utf-8", "surrogatepass")), "<u4").tobytes()
             if len(w) <= SHORT:
-                self.room -= 350 + 8 * len(w)
+                self.room -= 200 + 2 * len(w) + len(got)
                 if self.room < 0:
-                    self.words.clear()
-                    self.room = REMEMBER
+                    self.old, self.words, self.room = self.words, {}, REMEMBER
                 self.words[w] = got
         return got
 
     def parts(self, text: str):
-        """(ids, decoded, number) of each word and special token of text, in order; special tokens are cut out before all else."""
-        for piece in self.special.split(text) if self.special and "<|" in text else (text,):
+        """Ids of each word and special token of text, in order; special tokens are cut out before all else."""
+        for piece in self.special.split(text) if self.special and any(x in text for x in self.marks) else (text,):
             if piece in self.added:
-                i = self.added[piece]
-                yield np.array([i], "<u4").tobytes(), piece.encode(), 1
+                yield np.array([self.added[piece]], "<u4").tobytes()
             elif piece:
-                word, words = self.word, self.words
+                word = self.word
                 for w in self.split_words(piece):
-                    yield words.get(w) or word(w)
+                    yield self.words.get(w) or word(w)
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(b"".join(p[0] for p in self.parts(text or "")), "<u4").tolist()
+        return np.frombuffer(b"".join(self.parts(text or "")), "<u4").tolist()
+
+    def decoded(self, ids: list[int]) -> bytes:
+        """decode() of ids that all are of the vocabulary, in UTF-8."""
+        return b" ".join(map(self.labels.__getitem__, ids))
 
     def decode(self, ids) -> str:
         """Emits the labels of the path's arcs; as there is no decoder in the file, they are joined by spaces. Unknown ids are left out."""
@@ -235,11 +280,10 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = (), ids: bool = T
         for b in batches:
             n, a, d, lists = [], [], [], []
             for text in b.column(len(keep)).to_pylist():
-                got = list(t.parts(text or ""))
-                raw = b"".join([g[0] for g in got])
+                raw = b"".join(t.parts(text or ""))
                 n.append(len(raw) // 4)
                 a.append(hashlib.sha256(raw).hexdigest())
-                d.append(hashlib.sha256(b" ".join([g[1] for g in got])).hexdigest())
+                d.append(hashlib.sha256(t.decoded(np.frombuffer(raw, "<u4").tolist())).hexdigest())
                 if ids:
                     lists.append(np.frombuffer(raw, "<i4"))
             cols = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
