@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm._common import released, roots, stage
+from strandlog.llm._common import SLICE, released, roots, stage, tidy
 from strandlog.llm.components import components
 
 #: Leading principal dimensions: GRID of them deal vectors to tasks, LEAD of them order and prune within a task.
@@ -29,31 +29,43 @@ def unit(v) -> np.ndarray:
 def principal(units: DataFrame, lead: int = LEAD) -> dict[int, np.ndarray]:
     """Leading principal directions of the unit vectors of each dimension (dim x lead), from sums over all of them.
 
-    What is read is d * d sums for each dimension d that occurs, however many vectors there are.
+    A task keeps one matrix of sums for each dimension d that occurs, and gives it away at its end in
+    slices, which are added up in the executors: d * d numbers come to the driver, however many
+    vectors there are.
     """
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
+            by: dict[int, list] = {}
             for v in b.column("embedding").to_pylist():
-                sums.setdefault(len(v), []).append(unit(v))
-                if len(sums[len(v)]) >= 4096:
-                    yield from emit(len(v), np.array(sums.pop(len(v))))
-        for d, vs in sums.items():
-            yield from emit(d, np.array(vs))
-
-    def emit(d, x):
-        x = np.c_[np.ones(len(x)), x]
-        yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([(x.T @ x).ravel().tolist()])], names=["d", "s"])
-
-    rows = (
-        units.select("embedding").mapInArrow(released(run), "d int, s array<double>")
-        .select("d", F.posexplode("s").alias("k", "v")).groupBy("d", "k").agg(F.sum("v").alias("v"))
-        .groupBy("d").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("s")).collect()
-    )
+                by.setdefault(len(v), []).append(unit(v))
+            for d, vs in by.items():
+                x = np.c_[np.ones(len(vs)), np.array(vs)]
+                sums[d] = sums.get(d, 0) + x.T @ x
+        for d, m in sums.items():
+            flat = m.ravel()
+            parts = [flat[at : at + SLICE].tobytes() for at in range(0, len(flat), SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array([d] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["d", "part", "sums"])
+
+    def add(batches):
+        total: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for d, part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                got = np.frombuffer(data.as_buffer(), np.float64)
+                total[d, part] = total[d, part] + got if (d, part) in total else got
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k].tobytes() for k in keys], pa.binary())], names=["d", "part", "sums"])
+
+    kind = "d int, part int, sums binary"
+    with tidy(units.sparkSession):
+        slices = units.select("embedding").mapInArrow(released(run), kind).repartition("d", "part").mapInArrow(released(add), kind).collect()
+    rows: dict[int, list] = {}
+    for d, _, data in sorted(slices, key=lambda r: (r[0], r[1])):
+        rows.setdefault(d, []).append(np.frombuffer(data, np.float64))
     out = {}
-    for d, s in rows:
-        m = np.array([x[1] for x in s]).reshape(d + 1, d + 1)
+    for d, s in rows.items():
+        m = np.concatenate(s).reshape(d + 1, d + 1)
         mean = m[0, 1:] / m[0, 0]
         _, vectors = np.linalg.eigh(m[1:, 1:] / m[0, 0] - np.outer(mean, mean))
         out[d] = vectors[:, ::-1][:, :lead].copy()
