@@ -105,9 +105,9 @@ def drop_staged() -> None:
 atexit.register(drop_staged)
 
 
-def only_likely(df: DataFrame, keys: DataFrame, key: str, bits: int = 23) -> DataFrame:
-    """Rows of df whose key is in `keys`, and a few others: a bitmap of 2**bits bits, so at most
-    2**(bits-6) broadcast rows however many keys there are. An exact join has to follow."""
+def only_likely(df: DataFrame, keys: DataFrame, key: str, bits: int = 23, of: str | None = None) -> DataFrame:
+    """Rows of df whose key (column `of` of df, if it has another name there) is in `keys`, and a few others: a bitmap of
+    2**bits bits, so at most 2**(bits-6) broadcast rows however many keys there are. An exact join has to follow."""
     h = F.xxhash64(F.col(key)).bitwiseAND(F.lit((1 << bits) - 1))
     words = (
         keys.select(h.alias("h"))
@@ -115,7 +115,7 @@ def only_likely(df: DataFrame, keys: DataFrame, key: str, bits: int = 23) -> Dat
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("_bits"))
     )
     return (
-        df.withColumn("_h", h)
+        df.withColumn("_h", F.xxhash64(F.col(of or key)).bitwiseAND(F.lit((1 << bits) - 1)))
         .join(F.broadcast(words), F.shiftright("_h", 6) == F.col("_word"))
         .where(F.expr("(shiftrightunsigned(_bits, cast(_h & 63 as int)) & 1L) = 1L"))
         .drop("_h", "_word", "_bits")

@@ -19,6 +19,8 @@ CHUNK, MOST_LINES = 1 << 18, (1 << 16) - 1
 FLUSH, HELD, HOT = 300_000, 300_000, 50_000
 #: Tokens that can be hot: those with over one in so many of all postings.
 HOT_TOKENS = 4096
+#: Bits of the bitmap of (token, size class) that selects the postings of later rounds; a size class is an eighth of what lies between two powers of two.
+WANTED, CLASSES = 1 << 25, 8
 #: Earlier sets that a set is verified against in the first round, and how many times more in each round after it.
 WITNESSES, MORE = 1, 1024
 
@@ -198,7 +200,7 @@ def _parts(count: int) -> int:
 
 
 def _deal(buckets: int, hot: dict[int, tuple[int, int]], wanted: np.ndarray | None):
-    """Postings (of wanted tokens, a bitmap over 2**23 hashes) as blobs by key: a bucket of tokens, or a cell of a hot one.
+    """Postings (that wanted, a bitmap over WANTED hashes of tokens and size classes, has) as blobs by key: a bucket of tokens, or a cell of a hot one.
 
     The sets of a hot token are dealt to parts, and each pair of its parts is a cell: any two sets meet in one.
     """
@@ -239,7 +241,7 @@ def _deal(buckets: int, hot: dict[int, tuple[int, int]], wanted: np.ndarray | No
             has = tokens.is_valid().to_numpy(zero_copy_only=False)
             token = tokens.fill_null(0).to_numpy().view(np.uint32)
             if wanted is not None:
-                h = _spread(token)
+                h = _spread(token, _size_class(np.repeat(b.column("n").to_numpy(), lengths)))
                 has &= (wanted[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
             row = np.repeat(np.arange(len(lengths)), lengths)[has]
             i = (np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[has]
@@ -258,8 +260,14 @@ def _deal(buckets: int, hot: dict[int, tuple[int, int]], wanted: np.ndarray | No
     return run
 
 
-def _spread(token: np.ndarray) -> np.ndarray:
-    return (_mix(token.astype(np.uint64), _BASES[1]) & _U((1 << 23) - 1)).astype(np.int64)
+def _size_class(n: np.ndarray) -> np.ndarray:
+    """Grows with n, which is 1 at least, in exact arithmetic: the power of two below n, and which of its CLASSES equal parts n is in."""
+    m, e = np.frexp(n.astype(np.float64))
+    return (e * CLASSES + (m * 2 * CLASSES).astype(np.int64) - CLASSES).astype(np.uint64)
+
+
+def _spread(token: np.ndarray, size_class: np.ndarray) -> np.ndarray:
+    return (_mix(token.astype(np.uint64) | size_class << _U(32), _BASES[1]) & _U(WANTED - 1)).astype(np.int64)
 
 
 def _planes(col: np.ndarray, kind: str) -> bytes:
@@ -367,7 +375,7 @@ def _place() -> F.Column:
 def _check(checks: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame:
     """checks (x, y, open) to (x, ok, open): the lines of x and y are looked up in their texts and compared in whole. Staged."""
     ids = checks.select(F.col("x").alias("k")).unionByName(checks.select(F.col("y").alias("k"))).distinct()
-    asked = stage(classes.join(ids, F.col("id") == F.col("k")).select("id", "place", "row_key", F.xxhash64("row_key", "place.line").alias("at")), "lines-asked")
+    asked = stage(only_likely(classes.select("id", "place", "row_key"), ids, "k", of="id").join(ids, F.col("id") == F.col("k")).select("id", "place", "row_key", F.xxhash64("row_key", "place.line").alias("at")), "lines-asked")
     each = keyed.select("row_key", F.posexplode(F.split("text", "\n", -1)).alias("number", "words"))
     each = only_likely(each.withColumn("at", F.xxhash64("row_key", "number")), asked, "at").select(F.col("row_key").alias("r"), "number", F.col("words").cast("binary").alias("words"))
     texts = each.join(asked, (F.col("r") == F.col("row_key")) & (F.col("number") == F.col("place.line"))).select("id", "place", "words").dropDuplicates(["id"])
@@ -382,13 +390,21 @@ def _check(checks: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame
 
 
 def _bitmap(tokens: DataFrame) -> np.ndarray:
-    """A bitmap of 2**23 hashes of the tokens: one megabyte, however many there are."""
+    """A bitmap of WANTED hashes of tokens (token int, n int: the size of a set that has it) and the size classes of the sets
+    that may be similar: four megabytes, however many there are."""
+    part = WANTED // 8 // 64
 
     def run(batches):
-        bits = np.zeros(1 << 23, bool)
+        bits = np.zeros(WANTED // 8, np.uint8)
         for b in batches:
-            bits[_spread(b.column(0).to_numpy().view(np.uint32))] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([x.tobytes() for x in np.packbits(bits, bitorder="little").reshape(64, -1)], pa.binary())], names=["k", "bits"])
+            token, n = b.column(0).to_numpy().view(np.uint32), b.column(1).to_numpy().astype(np.int64)
+            low, high = _size_class(-(-NUM * n // DEN)), _size_class(DEN * n // NUM)
+            for k in range(int((high - low).max()) + 1 if len(n) else 0):
+                h = _spread(token, np.minimum(low + _U(k), high))
+                np.bitwise_or.at(bits, h >> 3, np.uint8(1) << (h & 7).astype(np.uint8))
+        rows = bits.reshape(64, part)
+        some = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([rows[k].tobytes() for k in some], pa.binary())], names=["k", "bits"])
 
     def both(batches):
         sums: dict[int, np.ndarray] = {}
@@ -398,7 +414,7 @@ def _bitmap(tokens: DataFrame) -> np.ndarray:
                 sums[k] = sums[k] | got if k in sums else got.copy()
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["k", "bits"])
 
-    out = np.zeros((64, 1 << 14), np.uint8)
+    out = np.zeros((64, part), np.uint8)
     with tidy(tokens.sparkSession):
         rows = tokens.mapInArrow(released(run), "k int, bits binary").repartition("k").mapInArrow(released(both), "k int, bits binary").collect()
     for k, bits in rows:
@@ -466,8 +482,10 @@ def _near(classes: DataFrame, keyed: DataFrame) -> list[DataFrame]:
         if rest.isEmpty():
             return rounds
         most *= MORE
-        probes = classes.join(rest, F.col("id") == F.col("rest"), "left").withColumn("probe", F.col("rest").isNotNull())
-        wanted = _bitmap(probes.where("probe").select(F.explode("prefix").alias("token")).where("token is not null"))
+        # all classes are what is looked for, and the open ones come once more as probes: a class never meets itself, as its place is its own
+        again = only_likely(classes, rest, "rest", of="id").join(rest, F.col("id") == F.col("rest")).drop("rest")
+        wanted = _bitmap(again.select(F.explode("prefix").alias("token"), "n").where("token is not null"))
+        probes = classes.withColumn("probe", F.lit(False)).unionByName(again.withColumn("probe", F.lit(True)))
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -483,12 +501,16 @@ def removals(docs: DataFrame) -> DataFrame:
     )
     classes = classes.select("s1", "s2", "n", "f.place", "f.row_key", "copies", "f0", "f1", "prefix")
     classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
+    described, lines = lines, stage(lines.select("doc_id", "row_key", "line", "n", "s1", "s2"), "lines-placed")
+    unstage(described)  # sketches and prefixes are the classes' from here on
     near = None
     for done in _near(classes, keyed):
         ok = done.where("ok").select(F.col("x").alias("n_id"))
         near = ok if near is None else near.unionByName(ok)
-    fate = classes.select("id", "s1", "s2", "n", "place", "copies").join(near.distinct(), F.col("id") == F.col("n_id"), "left")
-    fate = fate.where("n_id is not null or copies > 1").select(F.col("s1").alias("a"), F.col("s2").alias("b"), F.col("n").alias("c"), F.col("place").alias("first"), F.col("n_id").isNotNull().alias("near"))
+    near, slim = near.distinct(), classes.select("id", "s1", "s2", "n", "place", "copies")
+    fate = only_likely(slim, near, "n_id", of="id").join(near, F.col("id") == F.col("n_id")).drop("n_id").withColumn("near", F.lit(True))
+    fate = fate.unionByName(slim.where("copies > 1").withColumn("near", F.lit(False)))
+    fate = fate.groupBy(F.col("s1").alias("a"), F.col("s2").alias("b"), F.col("n").alias("c")).agg(F.min("place").alias("first"), F.max("near").alias("near"))
     fate = stage(fate, "line-fates")
     unstage(classes)
     each = only_likely(lines.select("doc_id", "row_key", "line", "n", "s1", "s2", place.alias("place")), fate.select(F.col("a").alias("s1")), "s1")

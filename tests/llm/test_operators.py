@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -395,6 +396,60 @@ def test_lines(spark, seed):
     assert lines.line_report(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_later_rounds_deal_postings_of_similar_sizes(spark):
+    n = np.arange(1, 5000)
+    classes = lines._size_class(n)
+    assert (np.diff(classes.astype(np.int64)) >= 0).all() and (classes == lines._size_class(n[::-1])[::-1]).all()
+    for k in n[:900:7]:  # any size that can be similar is within the classes that are marked
+        low, high = lines._size_class(np.array([-(-4 * k // 5), 5 * k // 4]))
+        assert all(low <= c <= high for c in classes[-(-4 * k // 5) - 1 : 5 * k // 4])
+
+    wanted = lines._bitmap(spark.createDataFrame([(7, 40), (-9, 5)], "token int, n int"))
+    sizes = [1, 4, 5, 6, 20, 31, 32, 40, 50, 62, 400]
+    sets = pa.RecordBatch.from_pydict(
+        {"id": range(len(sizes)), "n": pa.array(sizes, pa.int32()), "f0": [0] * len(sizes), "f1": [0] * len(sizes), "prefix": pa.array([[7, None, -9, 8]] * len(sizes), pa.list_(pa.int32())),
+         "probe": [False] * len(sizes), "last": [False] * len(sizes), "doc": range(len(sizes)), "line": pa.array([0] * len(sizes), pa.int32())}
+    )
+    dealt = [lines._read(blob.as_buffer()) for b in lines._deal(1, {}, wanted)([sets]) for blob in b.column("postings")]
+    got = {(int(t), int(n)) for d in dealt for t, n in zip(d["token"].view(np.int32), d["n"], strict=True)}
+    assert got == {(7, 32), (7, 40), (7, 50), (-9, 4), (-9, 5), (-9, 6)}
+
+
+def test_lines_of_many_rounds(spark, monkeypatch):
+    """Sketches that say nothing leave candidates that are not similar, so rounds follow; all joins shuffle, and while postings are dealt one table has prefixes."""
+    rng, live, seen, common = random.Random(3), {}, [], [f"w{k}" for k in range(20)]
+    rows = [(k, " ".join([f"rare{k % 10}", *rng.sample(common, 9)])) for k in range(60)]  # of ten words that have to share nine, all share their rarest
+    rows += [(100 + k, "\n".join([f"rare{k}", rows[10 + k][1].replace(rows[10 + k][1].split()[-1], "other"), rows[50 + k][1] + " more"])) for k in range(10)]
+    stage, unstage, described = lines.stage, lines.unstage, lines._described
+
+    def staged(df, name):
+        if name == "lines-candidates":
+            seen.append(sorted(n for n, columns in live.values() if "prefix" in columns))
+        out = stage(df, name)
+        live[out._staged] = name, out.columns
+        return out
+
+    monkeypatch.setattr(lines, "stage", staged)
+    monkeypatch.setattr(lines, "unstage", lambda df: (live.pop(df._staged), unstage(df)))
+    monkeypatch.setattr(lines, "MORE", 4)
+
+    def no_sketch(*a):
+        out = described(*a)
+        return [*out[:3], pa.array(np.zeros(len(out[0]), np.int64)), pa.array(np.zeros(len(out[0]), np.int64)), out[5]]
+
+    monkeypatch.setattr(lines, "_described", no_sketch)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.doc_id, r.removed_lines) for r in lines.line_report(docs_of(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    gone = brute_lines(rows)
+    assert got == {(d, ",".join(map(str, gone[r]))) for r, (d, _) in enumerate(rows)}
+    # the tables with sketches and prefixes that are on disk while postings are dealt
+    assert len(seen) > 1 and seen == [["line-classes"]] * len(seen)
+
+
 # --- 8 mixing
 
 
