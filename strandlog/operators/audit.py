@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from strandlog.functions.scalar import fixed
 from strandlog.operators.entity import by_time
 
 ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -180,7 +181,7 @@ def forks(ops: DataFrame, hours: int = 72) -> DataFrame:
     gap = (F.unix_timestamp("x.at.t") - F.unix_timestamp("w.at.t")) / 3600.0
     reason = (
         F.when(F.col("x.cid").eqNullSafe(F.col("w.cid")), F.lit(None).cast("string")).when(F.col("x.signer").isNull(), F.lit("no key in force signed it"))
-        .when((F.col("x.signer") < F.col("w.signer")) & (gap > hours), F.format_string(f"key %d outranks key %d, but came %.1f hours later, over {hours}", "x.signer", "w.signer", gap))
+        .when((F.col("x.signer") < F.col("w.signer")) & (gap > hours), F.format_string(f"key %d outranks key %d, but came %s hours later, over {hours}", "x.signer", "w.signer", fixed(gap, 1)))
         .when(F.col("x.signer") > F.col("w.signer"), F.format_string("key %d is outranked by key %d", "x.signer", "w.signer")).otherwise(F.lit("another came first"))
     )
     out = x.select("did", "prev", "x.cid", "x.created_at", "x.signer", F.col("x.cid").eqNullSafe(F.col("w.cid")).alias("won"), reason.alias("reason"), "since")

@@ -165,8 +165,8 @@ def fields(bundles: DataFrame, now: Column | str | None = None) -> DataFrame:
     utc = lambda c: F.coalesce(F.date_format(instant(c), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col(c))
     short = lambda c: F.left(c, F.lit(12))
     age, span = F.unix_timestamp(now) - F.unix_timestamp(b), F.unix_timestamp(b) - F.unix_timestamp(a)
-    mb = lambda c: F.format_string("%.2f", F.col(c) / 1048576.0)
-    ratio = F.when(F.col("compressed_size") > 0, F.format_string("%.2f", F.col("uncompressed_size") / F.col("compressed_size"))).otherwise("0")
+    mb = lambda c: S.fixed(F.col(c) / F.lit(1048576.0), 2)
+    ratio = F.when(F.col("compressed_size") > 0, S.fixed(F.col("uncompressed_size") / F.col("compressed_size"), 2)).otherwise("0")
     named = {
         ("bundle",): F.col("bundle_number"), ("hash",): F.col("hash"), ("hash_short",): short("hash"), ("content",): F.col("content_hash"), ("content_short",): short("content_hash"),
         ("parent",): F.col("parent"), ("parent_short",): short("parent"), ("date", "time"): utc("end_time"), ("date_short",): F.coalesce(F.date_format(b, "yyyy-MM-dd"), F.col("end_time")),
