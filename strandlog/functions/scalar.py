@@ -103,9 +103,10 @@ def _scaled(size: Column, units: tuple[str, ...], text) -> Column:
 BYTES = ("B", "KB", "MB", "GB", "TB")
 
 
-def format_bytes(n: Column | str) -> Column:
+def format_bytes(n: Column | str, largest: str = "TB") -> Column:
+    """Such as `1.50 KB`; sizes beyond the largest unit are counted in it."""
     x = _c(n)
-    return _scaled(x, BYTES, lambda v, u, k: F.concat(x.cast("string") if k == 0 else fixed(v, 2), F.lit(f" {u}")))
+    return _scaled(x, BYTES[: BYTES.index(largest) + 1], lambda v, u, k: F.concat(x.cast("string") if k == 0 else fixed(v, 2), F.lit(f" {u}")))
 
 
 def format_bytes_compact(n: Column | str) -> Column:
