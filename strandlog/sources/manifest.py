@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandlog.coords import BUNDLE_SIZE
 from strandlog.schema import MANIFEST
-from strandlog.sources.bundles import embedded_metadata, scan
+from strandlog.sources.bundles import embedded_metadata, lines_of, scan
 from strandlog.sources.store import Store
 
 GENESIS = "genesis:"
@@ -52,9 +52,40 @@ def chained(bundles: DataFrame, genesis: str = GENESIS, parent: str = "", cursor
     return bundles.repartition(1).sortWithinPartitions("bundle").mapInArrow(run, schema + ", parent string, hash string, cursor string")
 
 
+def content_of_files(spark: SparkSession, folder: str) -> DataFrame:
+    """content of the bundle files in a folder, with the files' length and compressed_hash. One task reads a file and gives its row; nothing is shuffled."""
+
+    def run(batches):
+        for b in batches:
+            for i, (bundle, data) in enumerate(zip(b.column("bundle").to_pylist(), b.column("content"), strict=True)):
+                data = data.as_py()
+                try:
+                    lines = lines_of(data)
+                except Exception as e:
+                    raise ValueError(f"bundle {bundle}: {e}") from e
+                if lines:
+                    text = ("\n".join(lines) + "\n").encode()
+                    own = [pa.array([hashlib.sha256(data).hexdigest()]), pa.array([len(text)], pa.int64()), pa.array([hashlib.sha256(text).hexdigest()]), pa.array([lines], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([b.column("bundle").slice(i, 1), b.column("length").slice(i, 1), *own], names=["bundle", "length", "compressed_hash", "uncompressed_size", "content_hash", "lines"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9][0-9][0-9][0-9][0-9][0-9].jsonl.zst").load(folder)
+    found = found.select(F.regexp_extract("path", r"([0-9]{6})\.jsonl\.zst$", 1).cast("int").alias("bundle"), "length", "content")
+    found = found.mapInArrow(run, "bundle int, length long, compressed_hash string, uncompressed_size long, content_hash string, lines array<string>")
+    own = found.withColumn("o", F.expr("transform(lines, x -> from_json(x, 'did string, createdAt string, created_at string'))"))
+    time = lambda k: F.expr(f"coalesce(element_at(o, {k}).createdAt, element_at(o, {k}).created_at)")
+    return own.select(
+        "bundle", time(1).alias("start_time"), time(-1).alias("end_time"), F.size("lines").alias("operation_count"), F.expr("size(array_distinct(filter(o.did, x -> x is not null)))").alias("did_count"),
+        "uncompressed_size", "content_hash", "length", "compressed_hash",
+    )
+
+
 def from_operations(ops: DataFrame, genesis: str = GENESIS) -> DataFrame:
     """The manifest of sealed operations. Sizes of files are only known of files; here they are a tenth of the lines'."""
-    c = chained(content(ops), genesis)
+    return from_content(content(ops), genesis)
+
+
+def from_content(bundles: DataFrame, genesis: str = GENESIS) -> DataFrame:
+    c = chained(bundles, genesis)
     return c.select(
         F.col("bundle").alias("bundle_number"), "start_time", "end_time", "operation_count", "did_count", "hash", "content_hash", "parent",
         F.sha2(F.concat(F.lit("file:"), "content_hash"), 256).alias("compressed_hash"), F.expr("uncompressed_size div 10").alias("compressed_size"),
