@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandlog.coords import BUNDLE_SIZE
 from strandlog.schema import MANIFEST
-from strandlog.sources.bundles import embedded_metadata, lines_of, scan
+from strandlog.sources.bundles import embedded_metadata, lines_of
 from strandlog.sources.store import Store
 
 GENESIS = "genesis:"
@@ -102,6 +102,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def rebuild(spark: SparkSession, folder: str, size: int = BUNDLE_SIZE, origin: str | None = None) -> DataFrame:
     """The manifest of the bundle files in a folder: hashes of the files and of their lines, chained anew.
 
+    A file is read and described by one task; only the short rows of the chain are shuffled.
     Every file has to name the same origin in its metadata (that given, if one is), and the
     numbers have to go from 1 on without gaps; else ValueError. What comes to the driver is
     one row of counts.
@@ -113,9 +114,8 @@ def rebuild(spark: SparkSession, folder: str, size: int = BUNDLE_SIZE, origin: s
         raise ValueError(f"bundle files of another origin: {r.n} origins, one of them {r.one!r}")
     if r.bundles and (r.first != 1 or r.last != r.bundles):
         raise ValueError(f"{r.bundles} bundle files, numbered {r.first} to {r.last}")
-    c = chained(content(scan(spark, folder, size)))
-    files = found.select("bundle", "length", "compressed_hash")
-    return c.join(files, "bundle").select(
+    c = chained(content_of_files(spark, folder))
+    return c.select(
         F.col("bundle").alias("bundle_number"), "start_time", "end_time", "operation_count", "did_count", "hash", "content_hash", "parent",
         "compressed_hash", F.col("length").alias("compressed_size"), "uncompressed_size", "cursor", F.col("end_time").alias("created_at"),
     )
