@@ -31,9 +31,10 @@ def identifier(did: Column | str) -> Column:
 
 def shard(ident: Column | str) -> Column:
     """Shard 0 to 255 of a 24-character identifier: the low byte of its FNV-1a hash, which the hash's low bytes alone decide."""
-    i = _c(ident)
-    codes = F.transform(F.sequence(F.lit(1), F.lit(24)), lambda k: F.ascii(F.substring(i, k, F.lit(1))))
-    return F.aggregate(codes, F.lit(37), lambda a, b: (a.bitwiseXOR(b) * 179).bitwiseAND(255)).cast("smallint")
+    i, low = _c(ident), F.lit(37)
+    for k in range(1, 25):
+        low = (low.bitwiseXOR(F.ascii(F.substring(i, k, 1))) * 179).bitwiseAND(255)
+    return low.cast("smallint")
 
 
 def pack_location(global_pos: Column | str, nullified: Column | str) -> Column:

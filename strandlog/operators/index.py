@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions.scalar import identifier, shard
@@ -10,11 +10,16 @@ from strandlog.functions.scalar import identifier, shard
 SHARDS = 256
 
 
+def _shard(ident: str) -> Column:
+    """shard of an identifier; never null, or a join by it would test it for null on every row before they are grouped."""
+    return F.coalesce(shard(ident), F.lit(0).cast("smallint"))
+
+
 def build(ops: DataFrame) -> DataFrame:
     """shard, identifier and locations (global_pos, nullified; sorted) of each DID of the right length."""
     t = ops.select(identifier("did").alias("identifier"), "global_pos", "nullified").where("identifier is not null").distinct()
     g = t.groupBy("identifier").agg(F.sort_array(F.collect_list(F.struct("global_pos", "nullified"))).alias("locations"))
-    return g.select(shard("identifier").alias("shard"), "identifier", "locations")
+    return g.select(_shard("identifier").alias("shard"), "identifier", "locations")
 
 
 def write(index: DataFrame, path: str) -> None:
@@ -39,7 +44,7 @@ def updated(index: DataFrame, ops: DataFrame) -> DataFrame:
 
 def lookup(index: DataFrame, dids: DataFrame) -> DataFrame:
     """did, global_pos, nullified of the asked DIDs; the shard joins too, so that a written index is pruned by it."""
-    want = dids.select("did", identifier("did").alias("identifier")).withColumn("shard", shard("identifier")).distinct()
+    want = dids.select("did").distinct().select("did", identifier("did").alias("identifier")).withColumn("shard", _shard("identifier"))
     return index.join(want, ["shard", "identifier"]).select("did", F.inline("locations"))
 
 
